@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from strandmill.llm import curriculum, secrets, sharding
+from strandmill.llm import curriculum, media, secrets, sharding
 
 QUERIES = {
+    "op1_media": media.op1,
     "op3_sharding": sharding.op3,
     "op7_mixing": curriculum.op7,
     "op10_secrets": secrets.op10,
