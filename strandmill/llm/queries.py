@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from strandmill.llm import curriculum, media, secrets, sharding
+from strandmill.llm import curriculum, decontaminate, media, secret_scan, sharding
 
 QUERIES = {
     "op1_media": media.op1,
     "op3_sharding": sharding.op3,
+    "op5_decontaminate": decontaminate.op5,
     "op7_mixing": curriculum.op7,
-    "op10_secrets": secrets.op10,
+    "op10_secrets": secret_scan.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_decontaminate": decontaminate.OP5_SQL,
+}
