@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from strandmill.llm import curriculum, decontaminate, media, neardup, secret_scan, sharding
+from strandmill.llm import curriculum, decontaminate, langid, media, neardup, secret_scan, sharding
 
 QUERIES = {
     "op1_media": media.op1,
     "op3_sharding": sharding.op3,
     "op5_decontaminate": decontaminate.op5,
     "op8_neardup": neardup.op8,
+    "op6_language": langid.op6,
     "op7_mixing": curriculum.op7,
     "op10_secrets": secret_scan.op10,
 }
