@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from strandmill.llm import curriculum, decontaminate, langid, media, neardup, secret_scan, sharding
+from strandmill.llm import curriculum, decontaminate, langid, media, neardup, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_media": media.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_decontaminate": decontaminate.op5,
     "op8_neardup": neardup.op8,
     "op6_language": langid.op6,
+    "op9_warc": warc.op9,
     "op7_mixing": curriculum.op7,
     "op10_secrets": secret_scan.op10,
 }
