@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from strandmill.llm import curriculum, decontaminate, langid, media, neardup, secret_scan, sharding, warc
+from strandmill.llm import curriculum, decontaminate, langid, media, neardup, ppm, secret_scan, sharding, warc
 
 QUERIES = {
     "op1_media": media.op1,
+    "op2_ppm": ppm.op2,
     "op3_sharding": sharding.op3,
     "op5_decontaminate": decontaminate.op5,
     "op8_neardup": neardup.op8,
