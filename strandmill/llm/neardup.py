@@ -7,11 +7,12 @@ one bit: the population count of two sketches' XOR estimates the samples that di
 similarity precisely.  Pairs whose estimate is far below the threshold go no further; the rest are
 confirmed on the full sets.
 
-Buckets never emit all their pairs.  First each member meets its bucket's smallest class.  Once these links
-have joined components, only buckets that hold several components go on: members outside the
-bucket's largest component meet all members of other components; where that is too many, a hashed
-share of the bucket (about FEW members) meets the rest, and leaves, until the bucket is small or of one
-component.  Pairs inside a component need no test, so no link between components is lost.
+Buckets never emit all their pairs.  In a few star rounds each member of a bucket meets one leader of it, and of
+all the leaders it met its two best.  Links join components, and buckets of one component are
+done.  In what is left, members outside the bucket's largest component meet members of other components, each
+pair only in the first bucket that both share and only if sizes and sketches leave it open; where the members outside
+are too many, a hashed share of the bucket (about FEW members) meets the rest, and leaves, until the bucket is
+small or of one component.  Pairs inside a component need no test, so no link between components is lost.
 
 Nulls and texts without words have an empty set, are linked with nothing and keep their own id.  Repeated
 rows fall into one class.  Empty tables give an empty result.  A class is named by 63 bits of a 128-bit hash of its set.
@@ -30,14 +31,17 @@ from strandmill.llm import tokens
 from strandmill.llm.components import components
 from strandmill.llm.scratch import save
 
-BANDS, ROWS, SKETCH_BITS = 56, 5, 1024
+BANDS, ROWS, SAMPLES, SKETCH_BITS = 56, 5, 560, 1024
+#: A pair goes on if its sketches estimate at least the threshold less this: over four deviations of the estimate.
+MARGIN = 0.1
+STAR_ROUNDS = 3
 #: Ids below which a set of needed texts is broadcast to filter the scan; above, a join does it.
 BROADCAST_IDS = 200_000
 #: Pairs a bucket may emit per member.
 FEW = 64
 
 
-def odd_count(similarity: float, samples: int = BANDS * ROWS, bits: int = SKETCH_BITS) -> float:
+def odd_count(similarity: float, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> float:
     """Expected population count of the XOR of two odd sketches."""
     return bits / 2 * (1 - (1 - 2 / bits) ** (2 * samples * (1 - similarity)))
 
@@ -48,7 +52,7 @@ def class_of(values: np.ndarray) -> int:
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(id, n_shingles, node, bands array, odd sketch array); node, bands and sketch are null for empty sets."""
-    factors = tokens.multipliers(bands * rows, 8)
+    factors = tokens.multipliers(max(SAMPLES, bands * rows), 8)
     names = ["id", "n_shingles", "node", "bands", "odd"]
     kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
@@ -64,7 +68,8 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, bands: int = BANDS, rows
                     for k, f in enumerate(factors):
                         least = tokens.min_by_run(values, f, offsets[full])
                         band = k // rows
-                        keys[band] = tokens.mix(keys[band] * tokens.U(31) + least + tokens.U(band + 1))
+                        if band < bands:  # the samples after the bands serve the sketch alone
+                            keys[band] = tokens.mix(keys[band] * tokens.U(31) + least + tokens.U(band + 1))
                         odd[at, (tokens.mix(least ^ tokens.U(k * 0x9E3779B97F4A7C15 % 2**64)) % tokens.U(SKETCH_BITS)).astype(np.int64)] ^= 1
                 packed = np.packbits(odd, axis=1).view(np.int64)
                 signed = keys.T.astype(np.int64) if not len(full) else np.ascontiguousarray(keys.T).view(np.int64)
@@ -129,54 +134,75 @@ class _Finder:
         named = self.labels.select(F.col("node").alias(f"__{out}"), F.col("comp").alias(out))
         return df.join(named, F.col(node) == F.col(f"__{out}"), "left").withColumn(out, F.coalesce(out, node)).drop(f"__{out}")
 
-    def promising(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs that sizes and odd sketches leave open, with the XOR's population count."""
-        side = lambda x: self.classes.select(*[F.col(c).alias(n) for c, n in (("node", x), ("rep", f"rep_{x}"), ("n", f"n_{x}"), ("odd", f"odd_{x}"))])
-        both = pairs.groupBy("a", "b").agg(F.count("*").alias("hits")).join(side("a"), "a").join(side("b"), "b")
-        both = both.where(F.least("n_a", "n_b") >= self.threshold * F.greatest("n_a", "n_b"))
-        differ = F.aggregate(F.zip_with("odd_a", "odd_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-        return both.withColumn("differ", differ).where(F.col("differ") <= odd_count(self.threshold - 0.15)).select("a", "b", "rep_a", "rep_b", "differ")
+    def similar(self, a: str, b: str):
+        """Whether the sizes and odd sketches of sides ``a`` and ``b`` leave the pair open, and how many bits differ."""
+        differ = F.aggregate(F.zip_with(f"odd_{a}", f"odd_{b}", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+        sizes = F.least(f"n_{a}", f"n_{b}") >= self.threshold * F.greatest(f"n_{a}", f"n_{b}")
+        return sizes & (differ <= odd_count(self.threshold - MARGIN)), differ
+
+    def side(self, x: str, *more) -> DataFrame:
+        return self.classes.select(*[F.col(c).alias(n) for c, n in (("node", x), ("rep", f"rep_{x}"), ("n", f"n_{x}"), ("odd", f"odd_{x}"))], *more)
 
     def settle(self, pairs: DataFrame) -> None:
-        """Confirm what joins components: each b's most promising pair first, then more at a time until none is left."""
-        pending, take = save(self.promising(pairs), "neardup-pending"), 1
+        """Confirm those pairs (a, b, rep_a, rep_b, differ) that join components: each b's most promising ones first."""
+        pending, take = pairs, 2
         while True:
             open_ = self.label(self.label(pending, "a", "ca"), "b", "cb").where("ca != cb")
             order = F.row_number().over(Window.partitionBy("b").orderBy("differ", "a"))
-            ranked = save(open_.withColumn("rank", order), "neardup-ranked")
+            ranked = save(open_.withColumn("rank", order).drop("ca", "cb"), "neardup-ranked")
             if not ranked.limit(1).count():
                 return
             found = save(_confirm(ranked.where(F.col("rank") <= take), self.docs, self.id_col, self.text_col, self.threshold), "neardup-links")
             if found.limit(1).count():
                 self.links = found if self.links is None else save(self.links.union(found), "neardup-links")
                 self.labels = components(self.links, "neardup-labels")
-            pending = ranked.where(F.col("rank") > take).select("a", "b", "rep_a", "rep_b", "differ")
-            take *= 8
+            pending = ranked.where(F.col("rank") > take).drop("rank")
+            take *= 16
+
+    def star(self, buckets: DataFrame, salt: int) -> None:
+        """One round: the leader of a bucket has the smallest node XOR salt; a member tries the two that it shares most buckets with."""
+        lead = buckets.groupBy("key").agg((F.min(F.col("node").bitwiseXOR(F.lit(salt)))).alias("low"))
+        met = buckets.join(lead, "key").withColumn("a", F.col("low").bitwiseXOR(F.lit(salt))).where("a != node")
+        hits = met.groupBy("a", F.col("node").alias("b")).agg(F.count("*").alias("hits"))
+        best = hits.withColumn("rank", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("hits"), "a"))).where("rank <= 2")
+        ok, differ = self.similar("a", "b")
+        self.settle(best.join(self.side("a"), "a").join(self.side("b"), "b").where(ok).select("a", "b", "rep_a", "rep_b", differ.alias("differ")))
+
+    def mixed(self, buckets: DataFrame) -> DataFrame:
+        """Rows of the buckets that hold several components, with the bucket's size, largest component and the number outside it."""
+        named = self.label(buckets.select("key", "band", "node"), "node", "comp")
+        sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
+        plan = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
+        plan = plan.select("key", "m", F.col("top.comp").alias("major"), (F.col("m") - F.col("top.c")).alias("minor"))
+        return save(named.join(plan, "key"), "neardup-mixed")
 
     def search(self) -> None:
-        buckets = self.classes.select("node", F.explode("bands").alias("key"))
-        lead = buckets.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("m")).where("m > 1")
-        met = buckets.join(lead, "key").where("node != lead")
-        self.settle(met.select(F.col("lead").alias("a"), F.col("node").alias("b")))
-        # Pairs between components that still share a bucket; with two members, the leader has met the other.
-        active, turn = buckets.join(lead.where("m > 2").select("key"), "key"), 0
+        buckets = self.classes.select("node", F.posexplode("bands").alias("band", "key"))
+        several = buckets.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+        left = save(buckets.join(several, "key"), "neardup-buckets")
+        for turn in range(STAR_ROUNDS):
+            self.star(left, turn * 0x2545F4914F6CDD1D % 2**63)
+            left = self.mixed(left)
+            if not left.limit(1).count():
+                return
+        turn = 0
         while True:
             turn += 1
-            named = self.label(active, "node", "comp")
-            sizes = named.groupBy("key", "comp").agg(F.count("*").alias("c"))
-            plan = sizes.groupBy("key").agg(F.sum("c").alias("m"), F.max(F.struct("c", "comp")).alias("top"), F.count("*").alias("parts")).where("parts > 1")
-            plan = plan.select("key", "m", F.col("top.comp").alias("major"), (F.col("m") - F.col("top.c")).alias("minor"))
-            mixed = save(named.join(plan, "key"), "neardup-mixed")
-            if not mixed.limit(1).count():
-                return
             chance = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.ceil(F.col("m") / FEW)) == 0
             whole = F.col("minor") <= FEW
             asks = F.when(whole, F.col("comp") != F.col("major")).otherwise(chance)
-            left = mixed.where(asks).select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
-            right = mixed.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-            pairs = left.join(right, "key").where("ca != cb").select("a", "b")
-            self.settle(pairs)
-            active = mixed.where(~whole & ~asks).select("node", "key")
+            marks = F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFF)).cast("short"))
+            rows = lambda x: left.select("key", "band", F.col("node").alias(x), F.col("comp").alias(f"c{x}"), asks.alias(f"asks_{x}")).join(self.side(x, marks.alias(f"marks_{x}")), x)
+            b, a = rows("b").where("asks_b").drop("asks_b"), rows("a").withColumnRenamed("key", "key_a").drop("band")
+            ok, differ = self.similar("a", "b")
+            earlier = F.zip_with(F.slice("marks_a", 1, F.col("band")), F.slice("marks_b", 1, F.col("band")), lambda x, y: x == y)
+            # Of two that ask for each other, the one with the smaller node speaks.
+            once = ~F.col("asks_a") | (F.col("b") < F.col("a"))
+            pairs = b.join(a, (F.col("key") == F.col("key_a")) & (F.col("ca") != F.col("cb")) & once & ok & ~F.exists(earlier, lambda x: x))
+            self.settle(save(pairs.select("a", "b", "rep_a", "rep_b", differ.alias("differ")).dropDuplicates(["a", "b"]), "neardup-pairs"))
+            left = self.mixed(left.where(~whole & ~asks))
+            if not left.limit(1).count():
+                return
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:
