@@ -214,7 +214,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     final = named.join(best, "comp").select("node", "component")
     rows = f.rows.select("id", "n_shingles", "node").join(final, "node", "left")
     component = F.coalesce("component", "id")
-    return rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), (F.col("id") == component).alias("kept"))
+    return rows.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ def pack(docs: DataFrame) -> DataFrame:
     kind = docs.schema["id"].dataType.simpleString()
 
     def run(batches):
-        number, rows, held_bytes = TaskContext.get().partitionId() << 32, [], 0
+        number, rows, held_bytes = TaskContext.get().partitionId() << 12, [], 0
         squeeze = zstandard.ZstdCompressor(level=1)
 
         def emit():

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from strandmill.llm import curriculum, decontaminate, langid, media, neardup, ppm, secret_scan, sharding, warc
+from strandmill.llm import curriculum, decontaminate, langid, media, neardup, ppm, secret_scan, sharding, suffix_dedup, warc
 
 QUERIES = {
     "op1_media": media.op1,
     "op2_ppm": ppm.op2,
     "op3_sharding": sharding.op3,
+    "op4_suffix_dedup": suffix_dedup.op4,
     "op5_decontaminate": decontaminate.op5,
     "op8_neardup": neardup.op8,
     "op6_language": langid.op6,
