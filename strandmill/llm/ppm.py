@@ -1,8 +1,8 @@
 """Language-model scores by prediction by partial matching over bytes, pretrained on the corpus.
 
 The trie of byte contexts up to ``ORDER`` bytes is held as tables of (context, symbol) counts, one per order.  A symbol is
-coded in the longest context; where it has not been seen there, an escape (method C: as likely as the
-number of distinct symbols of the context) leads to the next shorter one, from which all symbols already
+coded in the longest context; where it has not been seen there, an escape (method D: half a count is taken
+from each distinct symbol of the context) leads to the next shorter one, from which all symbols already
 offered are excluded.  After the empty context, what is left of the alphabet is equally likely.  Byte 255, which
 UTF-8 never uses, stands before a text as context and after it as its end.
 
@@ -22,13 +22,13 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from strandmill.llm import tokens
 from strandmill.llm.scratch import save
 
-ORDER, BLOCK, SLICE = 5, 64_000_000, 4_000_000
+ORDER, BLOCK, SLICE = 4, 64_000_000, 2_000_000
 END_TOKEN = 1  # hash of the end of a text among token hashes
 GRAM, TOKEN = 0, 1
 
@@ -152,7 +152,7 @@ def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
         nodes[k] = rows.groupBy("ctx").agg(F.sum("c").alias("n"), F.count("*").alias("t"), F.sum("below").alias("x"))
 
     seen = counts[order].withColumn("ctx", F.shiftright("code", 8)).join(nodes[order], "ctx")
-    seen = seen.select("code", F.log10(F.col("c") / (F.col("n") + F.col("t"))).alias("value"))
+    seen = seen.select("code", F.log10((F.col("c") - 0.5) / F.col("n")).alias("value"))
     zero = F.lit(0).cast("long")
     open_ = grams.where("c = 0").select("code", F.lit(0.0).alias("value"), F.lit(False).alias("done"), zero.alias("x0"), zero.alias("t0"))
     for k in range(order, -1, -1):
@@ -165,30 +165,31 @@ def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
         n, t = F.col("n") - F.col("x0"), F.col("t") - F.col("t0")
         hit = ~F.col("done") & (F.col("c") > 0)
         escape = ~F.col("done") & F.col("c").isNull() & F.col("n").isNotNull() & (t > 0)
-        step = F.when(hit, F.log10(F.col("c") / (n + t))).when(escape, F.log10(t / (n + t))).otherwise(0.0)
+        step = F.when(hit, F.log10((F.col("c") - 0.5) / n)).when(escape, F.log10(0.5 * t / n)).otherwise(0.0)
         open_ = here.select("code", (F.col("value") + step).alias("value"), (F.col("done") | F.coalesce(hit, F.lit(False))).alias("done"), F.coalesce("x", "x0").alias("x0"), F.coalesce("t", "t0").alias("t0"))
     rest = F.when(F.col("done"), 0.0).otherwise(-F.log10(256 - F.col("t0")))
     return seen.union(open_.select("code", F.col("value") + rest))
 
 
-def _scored(order: int, names: list[str]):
+def _scored(order: int, names: list[str], base_total: float):
     def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
         kind, code = right.column("kind").to_numpy(), right.column("code").to_numpy()
-        value, known = right.column("value").to_numpy(), right.column("known").to_numpy(zero_copy_only=False)
+        value = right.column("value").to_numpy()
         tables = []
         for k in (GRAM, TOKEN):
             own = np.flatnonzero(kind == k)
             own = own[np.argsort(code[own], kind="stable")]
-            tables.append((code[own], value[own], known[own]))
+            tables.append((np.append(code[own], 2**63 - 1), np.append(value[own], 0.0)))
         ids, held, sizes, blob = (left.column(c).combine_chunks()[0] for c in ("ids", "held", "sizes", "blob"))
         sizes = np.array(sizes.as_py(), np.int64)
         out = {n: np.zeros(len(sizes), np.float64 if "score" in n else np.int64) for n in names[2:]}
         for a, b, data, offsets in _pieces(sizes, blob.as_py()):
             codes, of = token_hashes(data, offsets)
             at = np.searchsorted(tables[TOKEN][0], codes)
+            c = np.where(tables[TOKEN][0][at] == codes, tables[TOKEN][1][at], 1.0)
             out["n_tokens"][a:b] = np.bincount(of, minlength=b - a)
-            out["n_known"][a:b] = np.bincount(of, tables[TOKEN][2][at], b - a)
-            out["base_score"][a:b] = np.bincount(of, tables[TOKEN][1][at], b - a)
+            out["n_known"][a:b] = np.bincount(of, c > 0, b - a)
+            out["base_score"][a:b] = np.bincount(of, np.log10((c + 0.5) / base_total), b - a)
             codes, of = gram_codes(data, offsets, order)
             out["score"][a:b] = np.bincount(of, tables[GRAM][1][np.searchsorted(tables[GRAM][0], codes)], b - a)
         return pa.Table.from_arrays([ids.values, held.values, *[pa.array(v) for v in out.values()]], names=names)
@@ -201,18 +202,23 @@ def score_corpus(df: DataFrame, id_col: str, text_col: str, held_out: Column, or
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(held_out, F.lit(False)).alias("held"))
     blocks = save(pack(docs), "ppm-blocks")
     asked = save(requests(blocks, order), "ppm-requests")
-    counts = asked.groupBy("kind", "code").agg(F.sum("train").alias("c"))
-    words = counts.where(F.col("kind") == TOKEN)
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum((F.col("c") > 0).cast("long")), F.lit(0))).first()
-    base = F.log10((F.col("c") + 0.5) / F.lit(n + 0.5 * (v + 1)))
-    words = words.select(F.lit(TOKEN).alias("kind"), "code", base.alias("value"), (F.col("c") > 0).alias("known"))
-    grams = save(counts.where(F.col("kind") == GRAM).select("code", "c"), "ppm-grams")
-    grams = log_probabilities(grams, order).select(F.lit(GRAM).alias("kind"), "code", "value", F.lit(True).alias("known"))
-    answers = asked.select("kind", "code", "block").join(words.union(grams), ["kind", "code"])
+    # A code has one row per block that asks, so a group is as long as there are blocks.
+    same = Window.partitionBy("code")
+    words = asked.where(F.col("kind") == TOKEN).select("code", "block", "train")
+    words = words.withColumns({"c": F.sum("train").over(same), "blocks": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("block"))})
+    totals = Observation()
+    words = words.observe(totals, F.sum("train").alias("n"), F.count(F.when((F.col("nth") == 1) & (F.col("c") > 0), 1)).alias("v"))
+    # A token that one training text holds once is not answered: no answer means a count of one.
+    words = save(words.where("NOT (blocks = 1 AND c = 1)").select("code", "block", F.col("c").cast("double").alias("value")), "ppm-tokens")
+    n, v = (totals.get[x] or 0 for x in ("n", "v"))
+    wanted = asked.where(F.col("kind") == GRAM).select("code", "block", "train")
+    grams = save(wanted.groupBy("code").agg(F.sum("train").alias("c")), "ppm-grams")
+    grams = wanted.select("code", "block").join(log_probabilities(grams, order), "code")
+    answers = grams.select(F.lit(GRAM).alias("kind"), "code", "block", "value").union(words.select(F.lit(TOKEN), "code", "block", "value"))
     kind = docs.schema["id"].dataType.simpleString()
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
     schema = f"id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, names), schema)
+    found = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_scored(order, names, n + 0.5 * (v + 1)), schema)
     return found.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
