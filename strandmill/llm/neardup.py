@@ -37,8 +37,8 @@ MARGIN = 0.1
 STAR_ROUNDS = 3
 #: Ids below which a set of needed texts is broadcast to filter the scan; above, a join does it.
 BROADCAST_IDS = 200_000
-#: Pairs a bucket may emit per member.
-FEW = 64
+#: Members outside the largest component that a bucket compares with all others in one turn.
+FEW = 2048
 
 
 def odd_count(similarity: float, samples: int = SAMPLES, bits: int = SKETCH_BITS) -> float:
