@@ -117,28 +117,31 @@ def _search_block(df: DataFrame, text_col: str, keep: list[str], sketches: _Sket
     return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
 
+def _blocks(items: DataFrame, item_id: str, item_text: str, perms: int, block: int):
+    """Sketches of the items, about ``block`` items at a time."""
+    n_blocks = max(1, -(-items.count() // block))
+    part = F.pmod(F.xxhash64(item_id, item_text), F.lit(n_blocks))
+    for k in range(n_blocks):
+        rows = items.where(part == k).select(item_id, item_text).collect()  # a bounded number of rows
+        yield _Sketches([r[0] for r in rows], [r[1] for r in rows], perms)
+
+
 def search(df: DataFrame, text_col: str, keep: list[str], items: DataFrame, item_id: str, item_text: str, threshold: float = THRESHOLD, perms: int = PERMS, block: int = BLOCK) -> DataFrame:
     """Columns ``keep`` of ``df`` with ``__sm_hits``: (item, size, shared) of every item that the text contains.
 
     With several blocks of items, each is searched in all documents and a document has a row per block.
     """
-    n_blocks = max(1, -(-items.count() // block))
-    part = F.pmod(F.xxhash64(item_id, item_text), F.lit(n_blocks))
-    out = None
-    for k in range(n_blocks):  # a bounded number of rows at a time
-        rows = items.where(part == k).select(item_id, item_text).collect()
-        sketches = _Sketches([r[0] for r in rows], [r[1] for r in rows], perms)
-        found = _search_block(df, text_col, keep, sketches, items.schema[item_id].dataType, threshold)
+    kind, out = items.schema[item_id].dataType, None
+    for sketches in _blocks(items, item_id, item_text, perms, block):
+        found = _search_block(df, text_col, keep, sketches, kind, threshold)
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def clean(df: DataFrame, text_col: str, items: DataFrame, item_id: str, item_text: str, block: int = BLOCK) -> DataFrame:
     """``df`` without the documents that contain an item."""
-    n_blocks = max(1, -(-items.count() // block))
-    part = F.pmod(F.xxhash64(item_id, item_text), F.lit(n_blocks))
-    for k in range(n_blocks):
-        found = search(df, text_col, df.columns, items.where(part == k), item_id, item_text, block=block)
+    for sketches in _blocks(items, item_id, item_text, PERMS, block):
+        found = _search_block(df, text_col, df.columns, sketches, items.schema[item_id].dataType, THRESHOLD)
         df = found.where(F.size("__sm_hits") == 0).drop("__sm_hits")
     return df
 

@@ -27,6 +27,8 @@ CANDIDATE = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}"
 WORD = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{8,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
 SAMPLE_DOCS = 10_000
+#: Counts that a character's own successors need to outweigh those of all characters.
+BACKOFF = 8.0
 #: One secret per ten thousand long tokens is expected, so the ratio has to outweigh that.
 THRESHOLD = math.log(1e4)
 
@@ -100,12 +102,13 @@ def train(texts: DataFrame, text_col: str, sample_docs: int = SAMPLE_DOCS) -> li
     counts = [[0.0] * (size * size) for _ in range(2)]
     for row in pairs.groupBy("y", "p").count().collect():  # at most 2 * size^2 rows: one per pair of characters
         counts[row["y"]][(ALPHABET.find(row["p"][0]) + 1) * size + ALPHABET.find(row["p"][1]) + 1] += row["count"]
-    out = []
-    for a in range(size):
-        rows = [counts[y][a * size : (a + 1) * size] for y in (0, 1)]
-        whole = [sum(r) + 0.5 * size for r in rows]
-        out += [math.log((rows[1][b] + 0.5) / whole[1]) - math.log((rows[0][b] + 0.5) / whole[0]) for b in range(size)]
-    return out
+    log_p = []
+    for y in (0, 1):  # a character after another falls back on the characters at large
+        seen = [sum(counts[y][b::size]) for b in range(size)]
+        large = [(c + 0.5) / (sum(seen) + 0.5 * size) for c in seen]
+        rows = [counts[y][a * size : (a + 1) * size] for a in range(size)]
+        log_p.append([math.log((r[b] + BACKOFF * large[b]) / (sum(r) + BACKOFF)) for r in rows for b in range(size)])
+    return [x - z for z, x in zip(*log_p, strict=True)]
 
 
 def ratio(token: Column, model: list[float]) -> Column:

@@ -226,12 +226,14 @@ def _grey_stream(b: Bits, group, width: int, total: int) -> np.ndarray:
         copies = np.flatnonzero(symbols >= 256).tolist()
         done = 0
         for k in copies + [len(symbols)]:
-            lits = symbols[done:k].astype(np.uint8).tobytes()
+            lits = symbols[done : min(k, done + total - n)].astype(np.uint8).tobytes()
             out += lits
             n += len(lits)
+            end = done + len(lits) - 1  # the last symbol that belongs to the image so far
             done = k + 1
             if n >= total or k == len(symbols):
                 break
+            end = k
             b.at = 8 * byte + int(places[k]) + int(length_of[window[k]])
             m = b.number(int(symbols[k]) - 256)
             d = _distance(b.number(far), width)
@@ -240,6 +242,8 @@ def _grey_stream(b: Bits, group, width: int, total: int) -> np.ndarray:
             piece = bytes(out[n - d : n - d + m] if d >= m else out[n - d :])
             out += (piece * (m // d + 1))[:m]
             n += m
+        if n >= total:
+            b.at = 8 * byte + int(places[end]) + int(step_of[window[end]])
     g = np.frombuffer(bytes(out[:total]), np.uint8).astype(np.uint32)
     return g << 8 | np.uint32(alpha << 24 | red << 16 | blue)
 
