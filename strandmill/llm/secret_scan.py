@@ -4,9 +4,9 @@ Two first-order character models over ``ALPHABET``, one of random strings and on
 identifiers, are trained from labelled samples and compared by log-likelihood ratio.  A candidate
 token whose ratio passes ``threshold`` (natural log) is a secret of kind ``markov``; base patterns always stay.
 
-Labels come from the text itself: what the base patterns match is random, the other long words are
-identifiers.  Training reads about ``sample_docs`` documents, chosen by a hash of their text; the model
-has at most two counts per pair of characters.  Everything else reads all documents.
+Labels come from the text itself: what the base patterns match is random, the other long words of all
+sampled documents are identifiers.  Training reads about ``sample_docs`` documents, chosen by a hash of their text; the model
+has at most two counts per pair of characters, taken over distinct strings.  Everything else reads all documents.
 
 Nulls: a null text is empty and has no spans.  Repeated rows are scanned each for itself.  An empty
 table gives an empty result (and an untrained, uniform model).  Other columns are left alone.
@@ -93,15 +93,16 @@ def train(texts: DataFrame, text_col: str, sample_docs: int = SAMPLE_DOCS) -> li
         F.when(may_access(t), found(ACCESS, 0, 16)).otherwise(none),
         F.when(may_hex(t), found(HEX, 0, 32)).otherwise(none),
     )
-    words = F.when(F.size(values) == 0, F.regexp_extract_all(t, F.lit(WORD), F.lit(0))).otherwise(none)
-    words = F.filter(words, lambda w: w.rlike("[A-Za-z]"))
+    words = F.filter(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: w.rlike("[A-Za-z]") & ~F.exists(values, lambda v: F.contains(v, w)))
     samples = chosen.select(F.explode(F.array(F.struct(F.lit(1).alias("y"), values.alias("s")), F.struct(F.lit(0).alias("y"), words.alias("s")))).alias("x"))
-    samples = samples.select("x.y", F.explode("x.s").alias("s")).where(F.char_length("s") > 1)
+    samples = samples.select("x.y", F.explode("x.s").alias("s")).where(F.char_length("s") > 1).distinct()
     pairs = samples.select("y", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("s") - 1), lambda i: F.substring(F.col("s"), i, 2))).alias("p"))
     size = len(ALPHABET) + 1
     counts = [[0.0] * (size * size) for _ in range(2)]
     for row in pairs.groupBy("y", "p").count().collect():  # at most 2 * size^2 rows: one per pair of characters
-        counts[row["y"]][(ALPHABET.find(row["p"][0]) + 1) * size + ALPHABET.find(row["p"][1]) + 1] += row["count"]
+        # A word is no evidence for itself: one secret among the words would else teach that it is an identifier.
+        seen = row["count"] - (row["y"] == 0)
+        counts[row["y"]][(ALPHABET.find(row["p"][0]) + 1) * size + ALPHABET.find(row["p"][1]) + 1] += seen
     log_p = []
     for y in (0, 1):  # a character after another falls back on the characters at large
         seen = [sum(counts[y][b::size]) for b in range(size)]
