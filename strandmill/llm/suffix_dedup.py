@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm import tokens
-from strandmill.llm.ppm import SLICE, pack
+from strandmill.llm.ppm import pack
 from strandmill.llm.scratch import save
 from strandmill.llm.tokens import U
 
 LENGTH, K = 100, 32
+#: Bytes of text that a task works on at a time; arrays of eight bytes for each of them are held a dozen at once.
+SLICE = 1_000_000
 #: Suffixes in a range, about.
 RANGE_ROWS = 60_000
 POS_BITS = 31
@@ -254,11 +256,12 @@ def sorted_runs(blocks: DataFrame, marks: DataFrame, ranges: int, length: int) -
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             raw = data.tobytes()
             pos, n, off, h = (right.column(c).to_numpy() for c in ("pos", "n", "off", "h"))
+            h = tokens.mix(h.view(np.uint64))  # anchors have small hashes; mixed ones fill all ranges alike
             of = np.searchsorted(offsets, pos, "right") - 1
             end = np.minimum(pos + n - 1 + length, offsets[of + 1])
-            keys = [hh.to_bytes(8, "big") + raw[p + o : e] for hh, p, o, e in zip((h.view(np.uint64)).tolist(), pos.tolist(), off.tolist(), end.tolist(), strict=True)]
+            keys = [hh.to_bytes(8, "big") + raw[p + o : e] for hh, p, o, e in zip(h.tolist(), pos.tolist(), off.tolist(), end.tolist(), strict=True)]
             order = sorted(range(len(keys)), key=keys.__getitem__)
-            part = ((h.view(np.uint64)[order] >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
+            part = ((h[order] >> U(32)) * U(ranges) >> U(32)).astype(np.int64)
             for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate((np.flatnonzero(np.diff(part, prepend=-1)), [len(part)])).tolist()), strict=True):
                 chosen = order[a:b]
                 shared, lengths, tails = front_code([keys[k] for k in chosen])
@@ -333,20 +336,28 @@ def cut(blocks: DataFrame, marks: DataFrame, id_kind: str, length: int, with_tex
         sizes = np.array(left.column("sizes")[0].as_py(), np.int64)
         offsets = np.concatenate(([0], np.cumsum(sizes)))
         pos, n = (right.column(c).to_numpy() for c in ("pos", "n"))
-        edge = np.zeros(len(data) + 1, np.int64)
-        np.add.at(edge, pos, 1)
-        np.add.at(edge, pos + n + length - 1, -1)
-        gone = np.cumsum(edge[:-1]) > 0
-        begin = gone.copy()
-        begin[1:] &= ~gone[:-1]
-        first = offsets[:-1][sizes > 0]
-        begin[first] = gone[first]
-        before, runs = np.concatenate(([0], np.cumsum(gone))), np.concatenate(([0], np.cumsum(begin)))
-        rest = data[~gone].tobytes()
-        rest_at = offsets - before[offsets]
-        kept = [rest[a:b] for a, b in zip(rest_at[:-1].tolist(), rest_at[1:].tolist(), strict=True)]
-        cols = [left.column("ids").combine_chunks()[0].values, pa.array(sizes), pa.array(np.diff(before[offsets])), pa.array(np.diff(runs[offsets])), pa.array([hashlib.sha256(x).hexdigest() for x in kept])]
-        return pa.Table.from_arrays([*cols, pa.array(kept if with_text else [None] * len(kept), pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
+        order = np.argsort(pos, kind="stable")
+        pos, n = pos[order], n[order]
+        removed, spans, digests, kept = np.zeros(len(sizes), np.int64), np.zeros(len(sizes), np.int64), [], []
+        for a, b in _text_slices(sizes):
+            part, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+            own = slice(*np.searchsorted(pos, [offsets[a], offsets[b]]))
+            edge = np.zeros(len(part) + 1, np.int32)
+            np.add.at(edge, pos[own] - offsets[a], 1)
+            np.add.at(edge, pos[own] + n[own] + length - 1 - offsets[a], -1)
+            gone = np.cumsum(edge[:-1], dtype=np.int32) > 0
+            begin = gone.copy()
+            begin[1:] &= ~gone[:-1]
+            first = at[:-1][sizes[a:b] > 0]
+            begin[first] = gone[first]
+            before, runs = (np.concatenate(([0], np.cumsum(x, dtype=np.int32)))[at] for x in (gone, begin))
+            removed[a:b], spans[a:b] = np.diff(before), np.diff(runs)
+            rest, rest_at = part[~gone].tobytes(), (at - before).tolist()
+            for x, y in zip(rest_at[:-1], rest_at[1:], strict=True):
+                digests.append(hashlib.sha256(rest[x:y]).hexdigest())
+                kept.append(rest[x:y] if with_text else None)
+        cols = [left.column("ids").combine_chunks()[0].values, pa.array(sizes), pa.array(removed), pa.array(spans), pa.array(digests, pa.string())]
+        return pa.Table.from_arrays([*cols, pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
     schema = f"id {id_kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     return blocks.groupBy("block").cogroup(marks.select("block", "pos", "n").groupBy("block")).applyInArrow(run, schema)
