@@ -16,6 +16,7 @@ score alike; an empty table gives an empty result; with nothing to learn from, a
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,6 +29,8 @@ from strandmill.llm import tokens
 from strandmill.llm.tokens import U, mix
 
 ORDER, SAMPLE_DOCS, SIGMAS, MAX_LANGUAGES = 4, 1500, 6.0, 1000
+#: Characters that a task holds as arrays at a time.
+CHUNK_CHARS = 500_000
 #: Nats per character; clean texts of other topics than the sample's must pass.
 LEAST_SPREAD = 0.1
 _STEP = 0xD6E8FEB86659FD93
@@ -89,35 +92,62 @@ class Model:
         return out
 
 
+def _chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _distinct_grams(texts: list[str], order: int) -> list[tuple[np.ndarray, ...]]:
+    """By length: sorted hashes of the distinct n-grams, of their contexts and of their last length - 1 points, and counts.
+
+    Texts are taken a chunk at a time, so what is held follows the distinct n-grams.
+    """
+    found: list[list[tuple[np.ndarray, ...]]] = [[] for _ in range(order + 1)]
+    for part in _chunks(texts):
+        points, offsets = code_points(part, order)
+        real = np.ones(len(points), bool)
+        for k in range(order - 1):
+            real[offsets[:-1] + k] = False
+        at = np.flatnonzero(real)
+        codes = gram_codes(points, order)
+        for k in range(1, order + 1):
+            keys, first, count = np.unique(_hash(codes[k][at], k), return_index=True, return_counts=True)
+            place = at[first]
+            found[k].append((keys, _hash(codes[k - 1][place - 1], k - 1), _hash(codes[k - 1][place], k - 1), count))
+    out: list[tuple[np.ndarray, ...]] = [()]
+    for parts in found[1:]:
+        keys, contexts, lows, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
+        keys, first, where = np.unique(keys, return_index=True, return_inverse=True)
+        out.append((keys, contexts[first], lows[first], np.bincount(where, counts, len(keys)).astype(np.int64)))
+    return out
+
+
 def _train(texts: list[str], order: int) -> tuple[np.ndarray, ...]:
-    points, offsets = code_points(texts, order)
-    real = np.ones(len(points), bool)
-    for k in range(order - 1):
-        real[offsets[:-1] + k] = False
-    at = np.flatnonzero(real)
-    codes = gram_codes(points, order)
-    now = [_hash(c[at], k) for k, c in enumerate(codes)]
-    before = [_hash(c[at - 1], k) for k, c in enumerate(codes)]
-    uniq = [None] + [np.unique(now[k], return_index=True, return_counts=True) for k in range(1, order + 1)]
+    found = _distinct_grams(texts, order)
     grams, logps, contexts, backoffs = [], [], [], []
-    vocabulary = len(uniq[1][0])
-    floor = math.log(1.0 / (vocabulary + 1))
-    lower = {}
+    floor = math.log(1.0 / (len(found[1][0]) + 1))
+    lower_keys, lower_p = np.zeros(0, np.uint64), np.zeros(0)
     for k in range(1, order + 1):
-        keys, first, count = uniq[k]
+        keys, before, low, count = found[k]
         if k < order:  # continuation counts: in how many ways the gram is preceded
             count = np.zeros(len(keys), np.int64)
-            np.add.at(count, np.searchsorted(keys, now[k][uniq[k + 1][1]]), 1)
+            np.add.at(count, np.searchsorted(keys, found[k + 1][2]), 1)
             count = np.maximum(count, 1)
         ones, twos = int((count == 1).sum()), int((count == 2).sum())
         discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-        ctx, where = np.unique(before[k - 1][first], return_inverse=True)
+        ctx, where = np.unique(before, return_inverse=True)
         total = np.bincount(where, count)
-        kinds = np.bincount(where)
-        spare = discount * kinds / total
-        p_low = np.full(len(keys), math.exp(floor)) if k == 1 else lower["p"][np.searchsorted(lower["keys"], now[k - 1][first])]
+        spare = discount * np.bincount(where) / total
+        p_low = np.full(len(keys), math.exp(floor)) if k == 1 else lower_p[np.searchsorted(lower_keys, low)]
         p = (count - discount) / total[where] + spare[where] * p_low
-        lower = {"keys": keys, "p": p}
+        lower_keys, lower_p = keys, p
         grams.append(keys)
         logps.append(np.log(p))
         contexts.append(ctx)
@@ -165,7 +195,8 @@ def fit(df: DataFrame, text_col: str, label_col: str, order: int = ORDER, sample
         lang = table.column("lang")[0].as_py()
         arrays = _train([t for t in learn if t] or [" "], order)
         model = Model(lang, *arrays[:4], floor=float(arrays[4][0]))
-        entropy, sizes = _entropies([model], [t for t in held if t] or [" "], order)
+        shown = [_entropies([model], part, order) for part in _chunks([t for t in held if t] or [" "])]
+        entropy, sizes = (np.concatenate(x) for x in zip(*shown, strict=True))
         long = entropy[sizes >= 200, 0] if (sizes >= 200).sum() >= 10 else entropy[:, 0]
         mean, spread = float(np.median(long)), float(1.4826 * np.median(np.abs(long - np.median(long))))
         bits = [pa.array([x.tobytes()], pa.binary()) for x in arrays[:4]]
@@ -201,7 +232,7 @@ def identify(df: DataFrame, text_col: str, models: list[Model], order: int = ORD
 
     def run(batches):
         for batch in batches:
-            for part in tokens.slices(batch, text_col, 2_000_000):
+            for part in tokens.slices(batch, text_col, CHUNK_CHARS * 2):
                 got = judge(part.column(text_col).to_pylist())
                 cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
                 yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], *cols], names=schema.names)
