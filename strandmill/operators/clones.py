@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MIN_TOKENS, SHINGLE, LANES, LANE_BITS = 24, 5, 4, 16
+#: Rows of one lane value that meet in one task; more are cut into parts.
+LANE_ROWS = 2048
 MIN_JACCARD, MIN_RATIO, MIN_CONFIDENCE = 0.72, 0.6, 0.78
 
 
@@ -54,33 +56,65 @@ def simhash(prints: DataFrame) -> DataFrame:
 
 
 def distinct_representatives(prints: DataFrame) -> DataFrame:
-    """One row per hash, the smallest id: equal texts are exact clones already and need no candidate pairs."""
+    """One row per hash, the smallest id; ``members`` says which ids it stands for."""
     best = prints.groupBy("hash").agg(F.min("id").alias("id"))
     return prints.join(best, ["hash", "id"], "left_semi")
 
 
-def band_candidates(hashes: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) that share the value of at least one lane.
+def members(prints: DataFrame) -> DataFrame:
+    """(id, representative) of every text with enough tokens: with it, pairs of representatives stand for all pairs."""
+    best = prints.groupBy("hash").agg(F.min("id").alias("representative"))
+    return prints.select("id", "hash").distinct().join(best, "hash").select("id", "representative")
 
-    Equal lane values of different lanes do not meet: the band number is part of the key.
+
+def between_members(pairs: DataFrame, prints: DataFrame) -> DataFrame:
+    """``pairs`` (a, b, ...) of representatives as pairs of all their members, the smaller id first."""
+    of = members(prints)
+    x, y = of.select(F.col("id").alias("x"), F.col("representative").alias("a")), of.select(F.col("id").alias("y"), F.col("representative").alias("b"))
+    both = pairs.join(x, "a").join(y, "b").where("x <> y")
+    return both.withColumns({"a": F.least("x", "y"), "b": F.greatest("x", "y")}).drop("x", "y")
+
+
+def _meetings(hashes: DataFrame, lane_rows: int) -> DataFrame:
+    """Pairs x, y (x.id < y.id) of rows (id, l0 .. l3) that share a lane, each in the first lane that they share.
+
+    Equal lane values of different lanes do not meet: the band number is part of the key.  A lane value of more than
+    ``lane_rows`` rows is cut into parts that meet pairwise, so no task holds all of it.
     """
-    bands = hashes.select("id", F.posexplode(F.array(*[f"l{k}" for k in range(LANES)])).alias("band", "value"))
-    a, b = bands.withColumnRenamed("id", "a"), bands.withColumnRenamed("id", "b")
-    return a.join(b, ["band", "value"]).where("a < b").select("a", "b").distinct()
+    lanes = [f"l{k}" for k in range(LANES)]
+    bands = hashes.select("id", *lanes, F.posexplode(F.array(*lanes)).alias("band", "value"))
+    often = bands.groupBy("band", "value").agg(F.count("*").alias("m")).where(F.col("m") > lane_rows)
+    often = often.select("band", "value", F.ceil(F.col("m") / lane_rows).cast("int").alias("parts"))
+    cut = bands.join(F.broadcast(often), ["band", "value"], "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    cut = cut.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    facing = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    x = cut.select("*", facing.alias("facing")).withColumnsRenamed({"part": "px", "facing": "py"}).alias("x")
+    y = cut.select("*", facing.alias("facing")).withColumnsRenamed({"part": "py", "facing": "px"}).alias("y")
+    met = x.join(y, [F.col(f"x.{c}") == F.col(f"y.{c}") for c in ("band", "value", "px", "py")]).where("x.id < y.id")
+    earlier = [(F.col("x.band") > k) & (F.col(f"x.l{k}") == F.col(f"y.l{k}")) for k in range(LANES - 1)]
+    return met.where(~(earlier[0] | earlier[1] | earlier[2]))
+
+
+def band_candidates(hashes: DataFrame, lane_rows: int = LANE_ROWS) -> DataFrame:
+    """Distinct pairs (a < b) that share the value of at least one lane."""
+    return _meetings(hashes, lane_rows).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"))
 
 
 def hamming(left: str, right: str) -> Column:
     return sum((F.bit_count(F.col(f"{left}.l{k}").bitwiseXOR(F.col(f"{right}.l{k}"))) for k in range(LANES)), F.lit(0))
 
 
-def near_misses(prints: DataFrame, radius: int) -> DataFrame:
-    """Pairs with different hashes within ``radius`` bits, with token overlap, size ratio and confidence."""
+def near_misses(prints: DataFrame, radius: int, lane_rows: int = LANE_ROWS) -> DataFrame:
+    """Pairs with different hashes within ``radius`` bits, with token overlap, size ratio and confidence.
+
+    Pairs of representatives: ``between_members`` makes them the pairs of all texts.
+    """
     reps = distinct_representatives(prints)
-    hashes = simhash(reps)
-    pairs = band_candidates(hashes)
-    sets = reps.select("id", F.array_distinct("tokens").alias("kinds"), "n_tokens").join(hashes, "id")
+    pairs = _meetings(simhash(reps), lane_rows).withColumn("hamming", hamming("x", "y")).where(F.col("hamming") <= radius)
+    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "hamming")
+    sets = reps.select("id", F.array_distinct("tokens").alias("kinds"), "n_tokens")
     x, y = sets.alias("x"), sets.alias("y")
-    both = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).withColumn("hamming", hamming("x", "y")).where(F.col("hamming") <= radius)
+    both = pairs.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id"))
     shared = F.size(F.array_intersect("x.kinds", "y.kinds"))
     jaccard = shared / (F.size("x.kinds") + F.size("y.kinds") - shared)
     ratio = F.least("x.n_tokens", "y.n_tokens") / F.greatest("x.n_tokens", "y.n_tokens")

@@ -161,6 +161,12 @@ def lsh_candidates(spark, d):
     return clones.band_candidates(clones.simhash(clones.distinct_representatives(prints(spark, d))))
 
 
+@query(f"WITH {_TOKENS} SELECT p.id, m.id AS representative FROM (SELECT DISTINCT id, hash FROM p) p JOIN (SELECT hash, min(id) AS id FROM p GROUP BY hash) m ON p.hash = m.hash")
+def clone_members(spark, d):
+    """The texts that each representative in the pairs of lsh_candidates and near_miss_* stands for."""
+    return clones.members(prints(spark, d))
+
+
 def _near_sql(radius: int) -> str:
     ham = " + ".join(f"bit_count(xor(x.l{k}, y.l{k}))" for k in range(4))
     return f"""{_REPS}, {_PAIRS}, k AS (SELECT r.id, list_distinct(r.tokens) AS kinds, r.n_tokens, h.* EXCLUDE (id) FROM r JOIN h ON r.id = h.id),

@@ -58,7 +58,7 @@ def glob_entrypoints(files: DataFrame, patterns: list[str]) -> DataFrame:
 def check(facts: Facts, entrypoints: list[str], baseline: DataFrame | None = None, radius: int = 6, limit: int = 50) -> DataFrame:
     """Findings of all layers in canonical order, the first ``limit``."""
     exact = clones.exact_buckets(facts.prints).withColumn("confidence", F.lit(0.99))
-    near = clones.near_misses(facts.prints, radius).withColumn("severity", F.lit("warn"))
+    near = clones.between_members(clones.near_misses(facts.prints, radius), facts.prints).withColumn("severity", F.lit("warn"))
     shapes = shape_duplicates(facts.shapes)
     edges = facts.imports.select("src", "dst")
     cycles = graph.strong_components(edges).groupBy("comp").agg(F.array_join(F.array_sort(F.collect_list("node")), "|").alias("nodes"), F.count("*").alias("n"))

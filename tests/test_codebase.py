@@ -75,3 +75,11 @@ def test_tokens_and_suppression(spark):
     df = spark.createDataFrame([("const x = 'a' + 12;", ["prop:code:rw:req:string", "prop:message:rw:req:string", "prop:status:rw:req:number"])], "s string, m array<string>")
     row = df.select(text.normal_tokens(F.col("s")), text.suppressed(F.col("m"))).first()
     assert row[0] == ["const", "ID", "=", "LIT", "+", "LIT", ";"] and row[1]
+
+
+def test_a_copy_in_other_files_is_reported_for_each(spark):
+    body = "export function work(input: string) {\n" + "".join(f"  const v{i} = input.length + {i}; if (v{i}) {{ call{i}(input); }}\n" for i in range(40))
+    near = body + "  other(input, input);\n}\n"
+    rows = [("a.ts", body + "}\n"), ("b.ts", body + "}\n"), ("c.ts", body + "}\n"), ("d.ts", near), ("e.ts", near)]
+    found = codebase.check(facts(spark, *rows), []).where("kind = 'semantic_clone' AND id LIKE '%|%'").collect()
+    assert {r["id"].split(":", 1)[1] for r in found} == {f"{x}.ts::work|{y}.ts::work" for x in "abc" for y in "de"}

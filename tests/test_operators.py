@@ -8,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from strandmill.operators import changes, findings, graph, sessions, store
+from strandmill.operators import changes, clones, findings, graph, sessions, store
 from strandmill.sources import tree
 from strandmill.streaming import changes as streams
 
@@ -119,3 +119,28 @@ def test_handoff_of_empty_tables(spark):
     e = edges(spark, [])
     assert graph.strong_components(e).count() == 0 and graph.undirected(e).count() == 0
     assert list(itertools.chain(graph.reachable(spark.createDataFrame([], "node long"), e).collect())) == []
+
+
+def near_copies():
+    base = [f"{a}{b}word" for a in "abcdefghij" for b in "klmnopqrst"] * 2
+    near = base.copy()
+    near[150] = "changed"
+    return [(i, " ".join(near if i in (2, 5) else base), "g") for i in range(7)]
+
+
+def test_near_misses_name_every_copy(spark):
+    df = spark.createDataFrame(near_copies(), "id long, t string, g string")
+    prints = clones.fingerprints(df, "id", "t", "g")
+    pairs = clones.near_misses(prints, 12)
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(0, 2)}
+    assert {tuple(r) for r in clones.members(prints).collect()} == {(i, 2 if i in (2, 5) else 0) for i in range(7)}
+    every = [(r["a"], r["b"]) for r in clones.between_members(pairs, prints).collect()]
+    assert sorted(every) == sorted((min(i, j), max(i, j)) for i in (0, 1, 3, 4, 6) for j in (2, 5))
+
+
+def test_cut_lanes_lose_no_pair(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.randrange(2), rng.randrange(3), rng.randrange(40), rng.randrange(40)) for i in range(60)]
+    want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and any(p == q for p, q in zip(x[1:], y[1:], strict=True)))
+    got = clones.band_candidates(spark.createDataFrame(rows, "id long, l0 int, l1 int, l2 int, l3 int"), lane_rows=7)
+    assert sorted(tuple(r) for r in got.collect()) == want
