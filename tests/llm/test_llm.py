@@ -295,6 +295,20 @@ def test_near_duplicates_match_brute_force(spark, rows):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_pairs_survive_bands_that_agree_in_their_low_bits(spark, monkeypatch):
+    real = neardup.sketch
+
+    def alike(*args):
+        low = lambda b, k: F.when(k == 0, F.shiftleft(F.col("id") + 1, 15)).otherwise(b)
+        return real(*args).withColumn("bands", F.transform("bands", low))
+
+    monkeypatch.setattr(neardup, "sketch", alike)
+    monkeypatch.setattr(neardup._Finder, "star", lambda *args: None)
+    words = prose(random.Random(3), 100).split()
+    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "changed"]))], "doc_id long, text string")
+    assert {r["component_id"] for r in neardup.near_duplicates(df).collect()} == {1}
+
+
 # ------------------------------------------------------------------ 9 archives
 
 
