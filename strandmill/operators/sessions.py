@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+import itertools
+
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.operators.graph import kept
+
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Last row of each key; one value per key crosses the shuffle from each task."""
@@ -39,20 +46,81 @@ def debounce(events: DataFrame, key: str, at: str, order: str, gap_ms: int) -> D
     return runs.groupBy(key, "batch").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"))
 
 
-def cooldown(events: DataFrame, key: str, at: str, order: str, quiet_ms: int) -> DataFrame:
-    """Events that a per-key emitter lets through: at least ``quiet_ms`` after the last one that it let through.
+def _chain_ends(times: np.ndarray, quiet_ms: int) -> list[tuple[int, int]]:
+    """(due, last) of one key's sorted distinct times: an emitter that is ready at most at ``due`` lets ``last`` through last.
 
-    Greedy, so a fold over each key's sorted times; only times and order travel.
+    Whatever comes before ``times``, the first event let through is one of the first quiet time.
     """
-    times = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(at).alias("at"), F.col(order).alias("id")))).alias("xs"))
-    kind = events.select(F.array(F.struct(F.col(at).alias("at"), F.col(order).alias("id"))).alias("x")).schema["x"].dataType
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast(kind).alias("out"))
+    after = np.searchsorted(times, times + quiet_ms).tolist()
+    end = list(range(len(times)))
+    for k in range(len(times) - 1, -1, -1):
+        if after[k] < len(times):
+            end[k] = end[after[k]]
+    starts = end[: after[0] + 1]
+    return [(int(times[k]), int(times[e])) for k, e in enumerate(starts) if k + 1 == len(starts) or starts[k + 1] != e]
 
-    def step(acc, x):
-        ok = acc["last"].isNull() | (x["at"] - acc["last"] >= quiet_ms)
-        return F.struct(F.when(ok, x["at"]).otherwise(acc["last"]).alias("last"), F.when(ok, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
 
-    return times.select(key, F.explode(F.aggregate("xs", zero, step, lambda acc: acc["out"])).alias("x")).select(key, F.col("x.id").alias(order), F.col("x.at").alias(at))
+def cooldown(events: DataFrame, key: str, at: str, order: str, quiet_ms: int) -> DataFrame:
+    """Events that a per-key emitter lets through: at least ``quiet_ms`` after the last one that it let through.
+
+    Greedy over times sorted into ranges of (key, time), so a frequent key fills many ranges.  A range with one key alone
+    says how it would end for any state before it; the driver follows these, and then every range is folded by itself
+    from its own state.  Of events at one time only the first in order can pass.  Events without a time all pass.
+    """
+    rows = events.select(key, F.col(order).alias(order), F.col(at).alias(at))
+    if quiet_ms <= 0:
+        return rows
+    timed = rows.where(F.col(at).isNotNull()).groupBy(key, at).agg(F.min(F.struct(order)).alias("first"))
+    timed = timed.select(key, F.col(f"first.{order}").alias(order), F.col(at).cast("long").alias(at))
+    ranges = kept(timed.repartitionByRange(key, at).sortWithinPartitions(key, at))
+
+    def ends(batches):
+        first, now, last, alone, times = None, None, None, True, []
+        for batch in batches:
+            for k, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if first is None:
+                    first, now = (k,), k
+                elif k != now:
+                    now, last, alone, times = k, None, False, []
+                if alone:
+                    times.append(t)
+                elif last is None or t - last >= quiet_ms:
+                    last = t
+        if first is not None:
+            found = _chain_ends(np.array(times, np.int64), quiet_ms) if alone else [(None, last)]
+            part = TaskContext.get().partitionId()
+            cols = [[part] * len(found), [first[0]] * len(found), [now] * len(found), [d for d, _ in found], [e for _, e in found]]
+            kinds = [pa.int32(), batch.column(0).type, batch.column(0).type, pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(cols, kinds, strict=True)], names=["part", "first", "final", "due", "last"])
+
+    kind = ranges.schema[key].dataType.simpleString()
+    told = ranges.mapInArrow(ends, f"part int, first {kind}, final {kind}, due long, last long")
+    before, state = {}, None  # state: key and last time let through at the end of the range before
+    for part, found in itertools.groupby(told.toLocalIterator(), key=lambda r: r["part"]):
+        found = list(found)
+        known = state[1] if state and state[0] == found[0]["first"] else None
+        if known is not None:
+            before[part] = known
+        if found[0]["due"] is None:
+            last = found[0]["last"]
+        else:
+            last = next((r["last"] for r in found if known is None or r["due"] >= known + quiet_ms), known)
+        state = (found[0]["final"], last)
+
+    def fold(batches):
+        last, now, begun = before.get(TaskContext.get().partitionId()), None, False
+        for batch in batches:
+            passed = []
+            for n, (k, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if begun and k != now:
+                    last = None
+                begun, now = True, k
+                if last is None or t - last >= quiet_ms:
+                    last = t
+                    passed.append(n)
+            yield batch.take(pa.array(passed, pa.int64()))
+
+    return ranges.mapInArrow(fold, ranges.schema).union(rows.where(F.col(at).isNull()))
 
 
 def percentiles(samples: DataFrame, key: str, value: str, order: list[str], keep: int = 512) -> DataFrame:

@@ -144,3 +144,20 @@ def test_cut_lanes_lose_no_pair(spark):
     want = sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and any(p == q for p, q in zip(x[1:], y[1:], strict=True)))
     got = clones.band_candidates(spark.createDataFrame(rows, "id long, l0 int, l1 int, l2 int, l3 int"), lane_rows=7)
     assert sorted(tuple(r) for r in got.collect()) == want
+
+
+def test_cooldown_of_a_frequent_key_fills_many_ranges(spark):
+    rng = random.Random(8)
+    rows = [("hot" if rng.random() < 0.8 else f"u{rng.randrange(9)}", rng.randrange(4000), i) for i in range(3000)]
+    want, last = set(), {}
+    for u, t, i in sorted(rows):
+        if u not in last or t - last[u] >= 37:
+            last[u] = t
+            want.add((u, t, i))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # few rows stay in several ranges
+    try:
+        got = sessions.cooldown(spark.createDataFrame(rows, "u string, at long, id long"), "u", "at", "id", 37)
+        assert {(r["u"], r["at"], r["id"]) for r in got.collect()} == want
+        assert got.where("u = 'hot'").groupBy(F.spark_partition_id()).count().count() > 1  # not folded in one task
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
