@@ -15,6 +15,7 @@ pytest.importorskip("strandmill.llm")
 from pyspark.sql import functions as F  # noqa: E402
 
 from strandmill.llm import curriculum, decontaminate, langid, media, neardup, ppm, secret_scan, sharding, suffix_dedup, warc, webp  # noqa: E402
+from strandmill.llm.components import components  # noqa: E402
 from strandmill.llm.scratch import fresh_path  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -295,18 +296,67 @@ def test_near_duplicates_match_brute_force(spark, rows):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
-def test_pairs_survive_bands_that_agree_in_their_low_bits(spark, monkeypatch):
-    real = neardup.sketch
+def near_rows(rng, n=160):
+    """One group whose members lie on both sides of the threshold, and rows that repeat ids, texts or both."""
+    base = prose(rng, 100).split()
+    group = []
+    for k in range(n):
+        words = list(base)
+        for _ in range(rng.randrange(12)):
+            words[rng.randrange(100)] = f"w{rng.randrange(9**5)}"
+        group.append((300 + k, " ".join(words), None, None, None))
+    return group
+
+
+def test_units_find_every_link_without_leaders(spark, monkeypatch):
+    none = lambda *args: spark.createDataFrame([], "a long, b long")
+    monkeypatch.setattr(neardup, "_star", none)
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    whole = near_rows(random.Random(10))
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in neardup.near_duplicates(spark.createDataFrame(whole, DOCS)).collect()}
+    want = brute_components(whole)
+    assert got == want and 1 < len({c for _, c in want.values()}) < len(whole)
 
-    def alike(*args):
-        low = lambda b, k: F.when(k == 0, F.shiftleft(F.col("id") + 1, 15)).otherwise(b)
-        return real(*args).withColumn("bands", F.transform("bands", low))
 
-    monkeypatch.setattr(neardup, "sketch", alike)
-    monkeypatch.setattr(neardup._Finder, "star", lambda *args: None)
-    words = prose(random.Random(3), 100).split()
-    df = spark.createDataFrame([(1, " ".join(words)), (2, " ".join([*words[:-1], "changed"]))], "doc_id long, text string")
-    assert {r["component_id"] for r in neardup.near_duplicates(df).collect()} == {1}
+def test_a_unit_returns_a_forest_of_links():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.choice(40, 30)).astype(np.uint64) for _ in range(30)]
+    ones = np.arange(30)
+    found = neardup.links_of_unit(np.zeros(30, np.int64), ones, ones, np.zeros((30, 16), np.uint64), sets, 0.6)
+    root = {i: i for i in range(30)}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in found:
+        assert find(a) != find(b)
+        root[find(a)] = find(b)
+    for i in range(30):
+        for j in range(i):
+            if neardup._linked(sets[i], sets[j], 0.6):
+                assert find(i) == find(j)
+
+
+def test_components_of_chains_and_stars(spark):
+    edges = [(i, i + 1) for i in range(300)] + [(1000, i) for i in range(1001, 1100)] + [(5000, 5000), (6000, 6001), (6001, 6000)]
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len({got[i] for i in range(301)}) == 1 and len({got[i] for i in range(1000, 1100)}) == 1 and len(set(got.values())) == 4
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_null_and_repeated_ids(spark):
+    base = prose(random.Random(5), 60)
+    near, other = base + " more", prose(random.Random(6), 60)
+    rows = [(1, base, "x"), (5, near, "y"), (5, other, "z"), (5, other, "z"), (5, other, "a"), (None, other + " more", None), (None, None, "q"), (7, "", "r"), (7, "", "r"), (None, "lone text here", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = sorted(map(str, neardup.keep_one(df).collect()))
+    want = [(1, base, "x"), (5, other, "a"), (None, None, "q"), (7, "", "r"), (7, "", "r"), (None, "lone text here", "s")]
+    assert kept == sorted(str(r) for r in spark.createDataFrame(want, df.schema).collect())
+    assert neardup.keep_one(df.limit(0)).columns == df.columns
+    got = neardup.near_duplicates(df).collect()
+    assert len(got) == len(rows) and {r["component_id"] for r in got if r["doc_id"] == 5} == {1, 5}
 
 
 # ------------------------------------------------------------------ 9 archives
