@@ -7,7 +7,7 @@ docstring says.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandmill.llm import curriculum, decontaminate, langid, neardup, sharding
@@ -26,13 +26,9 @@ def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every near-duplicate component; of repeated rows one."""
+    """Keeps the document with the smallest id of every near-duplicate component; of rows with that id, one by text and columns."""
     ship(spark)
-    found = neardup.near_duplicates(docs.select("doc_id", "text"))
-    ids = found.where("kept").select(F.col("doc_id").alias("__sm_id")).distinct()
-    kept = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__sm_id")), "left_semi")
-    same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    return kept.withColumn("__sm_nth", F.row_number().over(same)).where("__sm_nth = 1").drop("__sm_nth").select(*docs.columns)
+    return neardup.keep_one(docs).select(*docs.columns)
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
