@@ -93,7 +93,8 @@ def train(texts: DataFrame, text_col: str, sample_docs: int = SAMPLE_DOCS) -> li
         F.when(may_access(t), found(ACCESS, 0, 16)).otherwise(none),
         F.when(may_hex(t), found(HEX, 0, 32)).otherwise(none),
     )
-    words = F.filter(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: w.rlike("[A-Za-z]") & ~F.exists(values, lambda v: F.contains(v, w)))
+    lone = lambda known: F.filter(F.regexp_extract_all(t, F.lit(WORD), F.lit(0)), lambda w: w.rlike("[A-Za-z]") & ~F.exists(known, lambda v: F.contains(v, w)))
+    words = F.get(F.transform(F.array(values), lone), F.lit(0))  # bound once: the values are found once a text, not once a word
     samples = chosen.select(F.explode(F.array(F.struct(F.lit(1).alias("y"), values.alias("s")), F.struct(F.lit(0).alias("y"), words.alias("s")))).alias("x"))
     samples = samples.select("x.y", F.explode("x.s").alias("s")).where(F.char_length("s") > 1).distinct()
     pairs = samples.select("y", F.explode(F.transform(F.sequence(F.lit(1), F.char_length("s") - 1), lambda i: F.substring(F.col("s"), i, 2))).alias("p"))
