@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from strandmill.llm import tokens
 from strandmill.llm.scratch import save
 
-ORDER, BLOCK, SLICE = 4, 64_000_000, 2_000_000
+ORDER, BLOCK, SLICE = 4, 32_000_000, 2_000_000
+#: Codes that wait before they are merged with those of the block so far.
+MERGE = 1_000_000
 END_TOKEN = 1  # hash of the end of a text among token hashes
 GRAM, TOKEN = 0, 1
 
@@ -100,9 +102,11 @@ def token_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
 
 
 def _count(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([p[0] for p in parts])
-    uniq, back = np.unique(keys, return_inverse=True)
-    return uniq, np.bincount(back, np.concatenate([p[1] for p in parts]), len(uniq)).astype(np.int64)
+    keys, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def requests(blocks: DataFrame, order: int) -> DataFrame:
@@ -120,6 +124,8 @@ def requests(blocks: DataFrame, order: int) -> DataFrame:
                         found[kind].append(tuple(np.unique(codes[~out], return_counts=True)))
                         asked = np.unique(codes[out])
                         found[kind].append((asked, np.zeros(len(asked), np.int64)))
+                        if sum(len(p[0]) for p in found[kind][1:]) > max(MERGE, len(found[kind][0][0])):
+                            found[kind] = [_count(found[kind])]
                 for kind, parts in found.items():
                     codes, counts = _count(parts)
                     for k in range(0, len(codes), 100_000):
