@@ -6,11 +6,13 @@ back-off weights.  The language with the lowest cross-entropy per character wins
 where even that entropy is above what held-out texts of the language show: mean plus ``SIGMAS``
 deviations, wider for short texts.  Texts without a letter are ``und``.
 
-Training reads about ``SAMPLE_DOCS`` documents per language, chosen by a hash of the text, one group per
-language, so a group and a model are bounded.  Scoring reads every whole text.
+Training reads about ``SAMPLE_DOCS`` documents per language, chosen by a hash of the text and without repeats, one
+group per language, so a group and a model are bounded.  There may be any number of languages: their models are a
+table, of which ``BLOCK_MODELS`` are sent to the tasks at a time.  Scoring reads every whole text.
 
 Nulls and texts without a letter: ``und``, score 0, rejected.  Null labels are not learnt from.  Repeated rows
-score alike; an empty table gives an empty result; with nothing to learn from, all is ``und``.
+score alike; an empty table gives an empty result; with nothing to learn from, all is ``und``.  Columns that the
+table has already under the names of the result (lang_pred, score, cross_entropy, rejected) are replaced.
 """
 
 from __future__ import annotations
@@ -26,9 +28,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from strandmill.llm import tokens
+from strandmill.llm.scratch import drop_saved, save
 from strandmill.llm.tokens import U, mix
 
-ORDER, SAMPLE_DOCS, SIGMAS, MAX_LANGUAGES = 4, 1500, 6.0, 1000
+ORDER, SAMPLE_DOCS, SIGMAS = 4, 1500, 6.0
+#: Models that a task holds at a time; more languages mean more passes over the texts.
+BLOCK_MODELS = 64
+#: Labels whose counts are broadcast; more are joined.
+BROADCAST_LABELS = 100_000
 #: Characters that a task holds as arrays at a time.
 CHUNK_CHARS = 500_000
 #: Nats per character; clean texts of other topics than the sample's must pass.
@@ -180,13 +187,14 @@ def _entropies(models: list[Model], texts: list[str], order: int) -> tuple[np.nd
 _MODEL = "lang string, grams binary, logp binary, contexts binary, backoff binary, floor double, mean double, spread double, per_char double"
 
 
-def fit(df: DataFrame, text_col: str, label_col: str, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> list[Model]:
-    """A model for every label of ``df``, learnt on the executors from a bounded sample per label."""
+def fit(df: DataFrame, text_col: str, label_col: str, order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
+    """A table with a model for every label of ``df``, learnt on the executors from a bounded sample per label."""
     rows = df.select(F.col(text_col).alias("t"), F.col(label_col).alias("lang")).where("t IS NOT NULL AND lang IS NOT NULL")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    if sizes.limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    sample = rows.join(F.broadcast(sizes), "lang").where(F.pmod(F.xxhash64(F.lit(6), "t"), F.col("n")) < sample_docs).select("lang", "t")
+    sizes = save(sizes, "language-sizes")
+    few = sizes.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    chosen = rows.join(F.broadcast(sizes) if few else sizes, "lang").where(F.pmod(F.xxhash64(F.lit(6), "t"), F.col("n")) < sample_docs)
+    sample = chosen.select("lang", "t").distinct()
 
     def train(table: pa.Table) -> pa.Table:
         texts = sorted({t.lower() for t in table.column("t").to_pylist()})  # sorted: the same model whatever the order of rows
@@ -204,40 +212,68 @@ def fit(df: DataFrame, text_col: str, label_col: str, order: int = ORDER, sample
         names = [c.split()[0] for c in _MODEL.split(", ")]
         return pa.Table.from_arrays([pa.array([lang]), *bits, *numbers], names=names)
 
-    found = sample.groupBy("lang").applyInArrow(train, _MODEL).collect()  # one bounded model per language
-    kinds = (np.uint64, np.float64, np.uint64, np.float64)
-    return sorted((Model(r[0], *[np.frombuffer(x, k) for x, k in zip(r[1:5], kinds, strict=True)], *r[5:]) for r in found), key=lambda m: m.lang)
-
-
-def identify(df: DataFrame, text_col: str, models: list[Model], order: int = ORDER) -> DataFrame:
-    """``df`` with lang_pred, score, cross_entropy and rejected."""
-    more = T.StructType.fromDDL("lang_pred string, score double, cross_entropy double, rejected boolean")
-    keep = [f for f in df.schema.fields if f.name not in more.names]
-    schema = T.StructType([*keep, *more.fields])
-    shared = df.sparkSession.sparkContext.broadcast(models)  # bounded by the sample
-
-    def judge(texts: list[str | None]) -> list[tuple]:
-        models = shared.value
-        use = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))] if models else []
-        out: list[tuple] = [("und", 0.0, None, True)] * len(texts)
-        entropy, sizes = _entropies(models, [texts[k].lower() for k in use], order)
-        for j, k in enumerate(use):
-            e, n = entropy[j], int(sizes[j])
-            best = int(np.argmin(e))
-            m = models[best]
-            score = float(1.0 / np.exp(np.clip((e[best] - e) * min(n, 50), -60, 0)).sum())
-            limit = m.mean + SIGMAS * max(m.spread, m.per_char / math.sqrt(n))
-            out[k] = (m.lang, round(score, 6), round(float(e[best]), 6), bool(e[best] > limit))
-        return out
+    return save(sample.groupBy("lang").applyInArrow(train, _MODEL), "language-models")
 
-    def run(batches):
-        for batch in batches:
-            for part in tokens.slices(batch, text_col, CHUNK_CHARS * 2):
-                got = judge(part.column(text_col).to_pylist())
-                cols = [pa.array([g[k] for g in got], kind) for k, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
-                yield pa.RecordBatch.from_arrays([*[part.column(f.name) for f in keep], *cols], names=schema.names)
 
-    return df.select(*dict.fromkeys([*[f.name for f in keep], text_col])).mapInArrow(run, schema)
+def _loaded(rows: list) -> list[Model]:
+    kinds = (np.uint64, np.float64, np.uint64, np.float64)
+    return sorted((Model(r[0], *[np.frombuffer(x, k) for x, k in zip(r[1:5], kinds, strict=True)], *r[5:]) for r in rows), key=lambda m: m.lang)
+
+
+#: What the models seen so far leave open: the best language, its entropy, the entropy above which it is rejected, and
+#: the sum over the models of exp(-(entropy - best) * min(characters, 50)).
+_STATE = [T.StructField("__sm_lang", T.StringType()), *[T.StructField(c, T.DoubleType()) for c in ("__sm_entropy", "__sm_limit", "__sm_total")]]
+
+
+def _better(texts: list[str | None], state: list[tuple], models: list[Model], order: int) -> list[tuple]:
+    """``state`` of the texts after ``models``; of equal entropies the first language by name wins."""
+    use = [k for k, t in enumerate(texts) if t and any(map(str.isalpha, t))]
+    entropy, sizes = _entropies(models, [texts[k].lower() for k in use], order)
+    for j, k in enumerate(use):
+        e, n = entropy[j], int(sizes[j])
+        best = int(np.argmin(e))
+        m, least = models[best], float(e[best])
+        total = float(np.exp(np.clip((least - e) * min(n, 50), -60, 0)).sum())
+        lang, old, limit, weight = state[k]
+        if lang is not None:
+            low, part = min(old, least), lambda x: math.exp(max(-60.0, (low - x) * min(n, 50)))  # noqa: B023
+            total = total * part(least) + weight * part(old)
+            if (old, lang) < (least, m.lang):
+                state[k] = (lang, old, limit, total)
+                continue
+        state[k] = (m.lang, least, m.mean + SIGMAS * max(m.spread, m.per_char / math.sqrt(n)), total)
+    return state
+
+
+def identify(df: DataFrame, text_col: str, models: DataFrame, order: int = ORDER) -> DataFrame:
+    """``df`` with lang_pred, score, cross_entropy and rejected, by the table ``models``."""
+    spark, n = df.sparkSession, models.count()
+    keep = [c for c in df.columns if c not in ("lang_pred", "score", "cross_entropy", "rejected")]
+    rows = df.select(*[F.col(c) for c in dict.fromkeys([*keep, text_col])], *[F.lit(None).cast(f.dataType).alias(f.name) for f in _STATE])
+    blocks = -(-n // BLOCK_MODELS)
+    for b in range(blocks):
+        part = models.where(F.pmod(F.xxhash64("lang"), F.lit(blocks)) == b).collect()
+        if not part:
+            continue
+        shared, schema = spark.sparkContext.broadcast(_loaded(part)), rows.schema
+
+        def run(batches, shared=shared, schema=schema):
+            for batch in batches:
+                for part in tokens.slices(batch, text_col, CHUNK_CHARS * 2):
+                    state = list(zip(*(part.column(f.name).to_pylist() for f in _STATE), strict=True))
+                    got = _better(part.column(text_col).to_pylist(), state, shared.value, order)
+                    cols = [pa.array([g[k] for g in got], pa.float64() if k else pa.string()) for k in range(len(_STATE))]
+                    yield pa.RecordBatch.from_arrays([*[part.column(c) for c in schema.names[: -len(_STATE)]], *cols], names=schema.names)
+
+        old, rows = rows, rows.mapInArrow(run, schema)
+        if blocks > 1:  # one block's models at a time, in tasks and on the driver
+            rows = save(rows, "language-states")
+            shared.destroy()
+            if hasattr(old, "saved_at"):
+                drop_saved(old)
+    score = F.coalesce(F.round(1 / F.col("__sm_total"), 6), F.lit(0.0))
+    rejected = F.coalesce(F.col("__sm_entropy") > F.col("__sm_limit"), F.lit(True))
+    return rows.select(*keep, F.coalesce("__sm_lang", F.lit("und")).alias("lang_pred"), score.alias("score"), F.round("__sm_entropy", 6).alias("cross_entropy"), rejected.alias("rejected"))
 
 
 def remainder(id_col: str, by: int):
