@@ -8,16 +8,19 @@ item.  With containment of 0.75 or more, wherever in the document the shared shi
 miss is below (1 - 0.25) ** perms, about 1e-16 for 128.  Minima of larger windows are minima of smaller ones.
 Candidates are verified on the shingle strings themselves.
 
-Items are taken in blocks of ``block`` items: their sketches are what a task holds, so memory stays bounded
-for a benchmark of any size.  Documents are never shuffled.
+Distinct (id, text) items are taken in blocks of about ``block`` items and ``BLOCK_BYTES`` of text.  A block's items are
+broadcast and sketched in the tasks; with several blocks each pass is written before the next begins, so
+the driver and a task hold one block, whatever the size of the benchmark.  Documents are never shuffled.
 
 Nulls: a null text is empty, and an item or document without words matches nothing; ids may be null.  An
-item of fewer than five words matches documents that consist of the same words.  Repeated rows are
-matched each for itself; empty tables give an empty result.
+item of fewer than five words matches documents that consist of the same words.  Repeated documents are
+matched each for itself, items with equal id and text count once; empty tables give an empty result.
+Other columns of the documents pass through, whatever their names (but for ``__sm_hits``).
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 
 import numpy as np
@@ -28,8 +31,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from strandmill.llm import tokens
+from strandmill.llm.scratch import drop_saved, save
 
-WIDTH, THRESHOLD, PERMS, BLOCK = 5, 0.75, 128, 20_000
+WIDTH, THRESHOLD, PERMS, BLOCK, BLOCK_BYTES = 5, 0.75, 128, 8_000, 32 << 20
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _TO_SPACE = bytes.maketrans(_SPACE, b" " * 6)
@@ -54,11 +58,14 @@ class _Sketches:
             if n:
                 by_class[(n - 1).bit_length()].append(k)
         self.classes = []
+        full = np.flatnonzero(np.diff(offsets))
+        place = np.zeros(len(texts), np.int64)
+        place[full] = np.arange(len(full))
         for bits, members in sorted(by_class.items()):
             items = np.array(members)
             table, flag_bits = [], max(12, (32 * len(items)).bit_length())
             for f in self.factors:
-                mins = np.array([(values[offsets[k] : offsets[k + 1]] * f).min() for k in members], np.uint64)
+                mins = tokens.min_by_run(values, f, offsets[full])[place[items]]
                 order = np.argsort(mins, kind="stable")
                 flags = np.zeros(1 << flag_bits, bool)
                 flags[(mins >> np.uint64(64 - flag_bits)).astype(np.int64)] = True
@@ -95,12 +102,25 @@ class _Sketches:
         return out
 
 
-def _search_block(df: DataFrame, text_col: str, keep: list[str], sketches: _Sketches, item_type: T.DataType, threshold: float) -> DataFrame:
+_made: list[tuple[str, _Sketches]] = []
+
+
+def _sketched(name: str, handle, perms: int) -> _Sketches:
+    """Sketches of the broadcast block ``name``; a Python worker makes them once and keeps the last block's."""
+    if not _made or _made[0][0] != name:
+        _made[:] = [(name, _Sketches(*handle.value, perms))]
+    return _made[0][1]
+
+
+def _search_block(df: DataFrame, text_col: str, keep: list[str], block, perms: int, item_type: T.DataType, threshold: float) -> DataFrame:
     hit = T.StructType([T.StructField("item", item_type), T.StructField("size", T.LongType()), T.StructField("shared", T.LongType())])
     schema = T.StructType([*[df.schema[c] for c in keep], T.StructField("__sm_hits", T.ArrayType(hit))])
     arrow = to_arrow_type(schema["__sm_hits"].dataType)
 
+    name = uuid.uuid4().hex
+
     def run(batches):
+        sketches = _sketched(name, block, perms)
         for batch in batches:
             for part in tokens.slices(batch, text_col):
                 texts = part.column(text_col)
@@ -117,13 +137,15 @@ def _search_block(df: DataFrame, text_col: str, keep: list[str], sketches: _Sket
     return df.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, schema)
 
 
-def _blocks(items: DataFrame, item_id: str, item_text: str, perms: int, block: int):
-    """Sketches of the items, about ``block`` items at a time."""
-    n_blocks = max(1, -(-items.count() // block))
-    part = F.pmod(F.xxhash64(item_id, item_text), F.lit(n_blocks))
+def _blocks(items: DataFrame, item_id: str, item_text: str, block: int):
+    """(broadcast (ids, texts), whether it is the only one) of the distinct items, a bounded block at a time."""
+    context = items.sparkSession.sparkContext
+    rows = save(items.select(item_id, item_text).distinct(), "decontaminate-items")
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length(item_text))).first()
+    n_blocks = max(1, -(-n // block), -(-(size or 0) // BLOCK_BYTES))
     for k in range(n_blocks):
-        rows = items.where(part == k).select(item_id, item_text).collect()  # a bounded number of rows
-        yield _Sketches([r[0] for r in rows], [r[1] for r in rows], perms)
+        own = rows.where(F.pmod(F.xxhash64(item_id, item_text), F.lit(n_blocks)) == k).collect()  # about ``block`` rows
+        yield context.broadcast(([r[0] for r in own], [r[1] for r in own])), n_blocks == 1
 
 
 def search(df: DataFrame, text_col: str, keep: list[str], items: DataFrame, item_id: str, item_text: str, threshold: float = THRESHOLD, perms: int = PERMS, block: int = BLOCK) -> DataFrame:
@@ -132,17 +154,25 @@ def search(df: DataFrame, text_col: str, keep: list[str], items: DataFrame, item
     With several blocks of items, each is searched in all documents and a document has a row per block.
     """
     kind, out = items.schema[item_id].dataType, None
-    for sketches in _blocks(items, item_id, item_text, perms, block):
-        found = _search_block(df, text_col, keep, sketches, kind, threshold)
+    for shared, only in _blocks(items, item_id, item_text, block):
+        found = _search_block(df, text_col, keep, shared, perms, kind, threshold)
+        if not only:
+            found = save(found, "decontaminate-hits")
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def clean(df: DataFrame, text_col: str, items: DataFrame, item_id: str, item_text: str, block: int = BLOCK) -> DataFrame:
     """``df`` without the documents that contain an item."""
-    for sketches in _blocks(items, item_id, item_text, PERMS, block):
-        found = _search_block(df, text_col, df.columns, sketches, items.schema[item_id].dataType, THRESHOLD)
-        df = found.where(F.size("__sm_hits") == 0).drop("__sm_hits")
+    for shared, only in _blocks(items, item_id, item_text, block):
+        found = _search_block(df, text_col, df.columns, shared, PERMS, items.schema[item_id].dataType, THRESHOLD)
+        old, df = df, found.where(F.size("__sm_hits") == 0).drop("__sm_hits")
+        if not only:
+            df = save(df, "decontaminate-kept")
+            shared.destroy()
+            if hasattr(old, "saved_at") and old.saved_at.rsplit("/", 1)[1].startswith("decontaminate-kept"):
+                drop_saved(old)
     return df
 
 
