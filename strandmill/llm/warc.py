@@ -1,6 +1,6 @@
 """WARC archives: a writer with revisit records and a splittable reader.
 
-Writing.  Of pages with equal payloads the one with the smallest id is a ``response``; the others are
+Writing.  Payloads are equal if their SHA-256 and length are.  Of pages with equal payloads the one with the smallest id is a ``response``; the others are
 ``revisit`` records that name it and carry no payload.  Every record is a gzip member of its own.  Spark's text sink
 writes the members, so archives land wherever Spark can write and only through its commit protocol.
 The sink ends each row with one separator byte; a member ends with the byte 0 (the top byte of
@@ -10,11 +10,12 @@ it.  A larger record is followed by an empty member, which ends with 0 again.
 Reading.  Files are cut into byte ranges.  A task looks in its range for the gzip magic, tries to decode what
 follows, and takes it for a record only if it starts like one and if the member is followed by another
 or by the end of the file; from then on it goes from member to member.  It owns the records that start
-inside its range and reads the last one to its end, beyond the range if need be.
+inside its range and reads the last one to its end, beyond the range if need be.  Damage raises: where a member has to
+start and none can be read, where a record's payload and digest differ, and where a file does not start with a member.
 
 Nulls: a null html is an empty payload; a null url is left out and read back as null; a null id never is a
 revisit's target, and its record is a response.  Rows that repeat the first row's id are responses.
-Empty tables give an empty archive and an empty result.
+Empty tables give an empty archive and an empty result.  Columns other than page_id, url and html are not written.
 """
 
 from __future__ import annotations
@@ -76,9 +77,12 @@ def record(page_id: int | None, url: str | None, payload: bytes, first: int | No
 
 def write_archives(pages: DataFrame, path: str) -> None:
     """``pages`` (page_id, url, html) as gzip WARC files below ``path``."""
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha1(F.encode("html", "UTF-8")))
-    firsts = rows.groupBy("sha").agg(F.min("page_id").alias("first"))
-    named = rows.join(firsts, "sha").select("page_id", "url", "html", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("first"))
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("sha", F.sha2(F.encode("html", "UTF-8"), 256))
+    # Which page holds a payload is settled without the payloads; they move once, by page, so that no common payload fills a task.
+    light = rows.select("page_id", "sha", F.octet_length("html").alias("size"))
+    firsts = light.groupBy("sha", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    revisits = light.join(firsts, ["sha", "size"]).where("page_id != first").select("page_id", "sha", "first").distinct()
+    named = rows.join(revisits, ["page_id", "sha"], "left").select("page_id", "url", "html", "first")
 
     def run(batches):
         for batch in batches:
@@ -104,6 +108,12 @@ class _File:
             self.handle = store.open_input_file(inner)
         self.size = self.handle.size()
 
+    def __enter__(self) -> _File:
+        return self
+
+    def __exit__(self, *what) -> None:
+        self.handle.close()
+
     def at(self, offset: int, n: int) -> bytes:
         self.handle.seek(offset)
         return self.handle.read(min(n, max(0, self.size - offset)))
@@ -131,25 +141,44 @@ def member_at(file: _File, offset: int, whole: bool) -> tuple[bytes, int] | None
         return None
 
 
+def _follows(file: _File, offset: int) -> bool:
+    return offset >= file.size or file.at(offset, 3) == MAGIC
+
+
+def _must(file: _File, offset: int) -> tuple[bytes, int]:
+    """The member at ``offset``, where one has to start."""
+    got = member_at(file, offset, True)
+    if not got or not _follows(file, got[1]):
+        raise ValueError(f"the archive is damaged at or after byte {offset}")
+    return got
+
+
 def members(file: _File, start: int, end: int) -> Iterator[tuple[int, bytes]]:
-    """(offset, content) of the records that start in [start, end)."""
-    at, synced = start, False
+    """(offset, content) of the records that start in [start, end).
+
+    A file starts with a member and a member follows a member; where none can be read there, it raises.  The
+    first record of a later range is found by trial, so the range before vouches for it by reading it too.
+    """
+    at, synced = start, start == 0
     while at < min(end, file.size):
-        if not synced:
+        if synced:
+            got = _must(file, at)
+        else:
             window = file.at(at, min(_CHUNK, end - at) + len(MAGIC) - 1)
             k = window.find(MAGIC)
             if k < 0 or at + k >= end:
                 at += max(1, len(window) - len(MAGIC) + 1)
                 continue
             at += k
-        got = member_at(file, at, synced)
-        follows = got and (got[1] >= file.size or file.at(got[1], 3) == MAGIC)
-        if not got or not follows or not (synced or got[0].startswith(b"WARC/1.")):
-            at, synced = at + 1, False
-            continue
+            got = member_at(file, at, False)
+            if not got or not got[0].startswith(b"WARC/1.") or not _follows(file, got[1]):
+                at += 1
+                continue
         if got[0]:
             yield at, got[0]
         at, synced = got[1], True
+    if synced and at < file.size:
+        _must(file, at)
 
 
 def parse(content: bytes) -> tuple[dict[str, str], bytes, int]:
@@ -172,7 +201,11 @@ def read_archives(spark: SparkSession, path: str, split: int = SPLIT, with_paylo
     names = [c.split()[0] for c in schema.split(", ")]
 
     def rows(path: str, start: int) -> Iterator[tuple]:
-        for offset, content in members(_File(path), start, start + split):
+        with _File(path) as file:
+            yield from records(file, path, start)
+
+    def records(file: _File, path: str, start: int) -> Iterator[tuple]:
+        for offset, content in members(file, start, start + split):
             fields, payload, length = parse(content)
             kind = fields["WARC-Type"]
             stated = fields["WARC-Payload-Digest"].removeprefix("sha1:")
