@@ -131,6 +131,21 @@ def test_shards_are_even_gapless_and_stable(spark, docs):
     assert sharding.external_shuffle(docs.limit(0), "doc_id", 5).count() == 0
 
 
+def test_repeated_rows_are_spread_and_shards_read_back(spark):
+    rows = [(7, "same", None)] * 900 + [(None, None, "x")] * 90 + [(i, f"text {i}", "y") for i in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, slot string").repartition(5)
+    shuffled = sharding.external_shuffle(df, "doc_id", 4, bucket_rows=32)
+    path = fresh_path(spark, "test-shards")
+    sharding.write_shards(shuffled, path)
+    got = sharding.read_shards(spark, path, shuffled).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter((i, t) for i, t, _ in rows)
+    per = [sorted(r["slot"] for r in got if r["shard"] == s) for s in range(4)]
+    assert all(p == list(range(len(p))) for p in per) and max(map(len, per)) - min(map(len, per)) <= 1
+    light = df.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")).alias("__sm_key"), F.xxhash64(*df.columns).alias("__sm_tie"))
+    buckets = sharding._numbered(df, "doc_id", F.xxhash64(*df.columns), light).groupBy("__sm_key", "__sm_tie").agg(F.countDistinct("__sm_copy").alias("n"), F.count("*").alias("c"))
+    assert all(r["n"] == r["c"] for r in buckets.collect())
+
+
 def water_fill(sizes, weights, budget, most):
     open_, target, left = set(sizes), {}, budget * sum(sizes.values())
     while open_:
@@ -226,6 +241,9 @@ def test_leaks_match_brute_force(spark, docs, rows):
     blocks = decontaminate.clean(docs, "text", table, "item_id", "text", block=2)
     assert {r["doc_id"] for r in blocks.collect()} == {i for i, *_ in rows} - {i for i, *_ in found}
     assert decontaminate.clean(docs, "text", table.limit(0), "item_id", "text").count() == len(rows)
+    often = table.union(table).union(table)
+    again = decontaminate.search(docs, "text", ["doc_id"], often, "item_id", "text", block=3).select("doc_id", F.explode("__sm_hits").alias("h"))
+    assert sorted((r["doc_id"], r["h"]["item"], r["h"]["shared"]) for r in again.collect()) == sorted(found)
 
 
 # ------------------------------------------------------------------ 6 language
@@ -246,6 +264,18 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(df, "text", langid.fit(df.limit(0), "text", "lang")).collect()} == {"und"}
 
 
+def test_any_number_of_languages(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, f"{chr(0x61 + k % 26)}{chr(0x61 + k // 26)} " * rng.randrange(3, 9) + "some more", f"l{k % 40}", "clash") for k in range(400)]
+    df = spark.createDataFrame([*rows, *rows[:30]], "doc_id long, text string, lang string, lang_pred string")
+    models = langid.fit(df, "text", "lang")
+    whole = {(r["doc_id"], r["lang_pred"], r["score"], r["rejected"]) for r in langid.identify(df, "text", models).collect()}
+    monkeypatch.setattr(langid, "BLOCK_MODELS", 7)
+    got = langid.identify(df, "text", models)
+    assert whole == {(r["doc_id"], r["lang_pred"], r["score"], r["rejected"]) for r in got.collect()} and len(whole) == 400
+    assert got.columns == ["doc_id", "text", "lang", "lang_pred", "score", "cross_entropy", "rejected"] and models.count() == 40
+
+
 def test_probabilities_sum_to_one():
     arrays = langid._train(["abracadabra", "abc abd"], 3)
     model = langid.Model("x", *arrays[:4], floor=float(arrays[4][0]))
@@ -387,6 +417,26 @@ def test_false_magic_is_no_record(tmp_path):
         assert got == ["1", "2"]
 
 
+@pytest.mark.parametrize("cut", [50, 400, 100_000])
+def test_damage_raises(tmp_path, cut):
+    parts = [warc.record(i, "u", f"page {i} ".encode() * 40, None) for i in range(6)]
+    whole, starts = b"".join(parts), np.cumsum([0, *map(len, parts)]).tolist()
+
+    def read(data):
+        (tmp_path / "a").write_bytes(data)
+        with warc._File(f"file:{tmp_path}/a") as file:
+            return [warc.parse(c)[0]["X-Page-Id"] for s in range(0, max(1, file.size), cut) for _, c in warc.members(file, s, s + cut)]
+
+    assert read(whole) == list("012345") and read(b"") == []
+    for at in (0, 1, starts[1], starts[2], starts[3] + 2, starts[3] + 60, starts[5], len(whole) - 1):
+        with pytest.raises(ValueError):
+            read(whole[:at] + bytes([whole[at] ^ 0x55]) + whole[at + 1 :])
+    with pytest.raises(ValueError):
+        read(whole[: starts[3] + 30] + whole[starts[4] :])
+    with pytest.raises(ValueError):
+        read(whole[:-9])
+
+
 # ------------------------------------------------------------------ 10 secrets
 
 
