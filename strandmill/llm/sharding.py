@@ -8,9 +8,10 @@ Bucket offsets turn the place inside a bucket into a global place; place modulo
 sizes differ by one row at most (law ``rows``), and the quotient is the slot, gapless from 0.  ``write_shards``
 writes each bucket's records where they belong.
 
-Rows with equal keys are told apart by a hash of their other columns.  Rows equal in all columns are interchangeable:
-they are folded into one row with a count and dealt out again by their number, so that repeats, however
-many, fill no bucket.  (With a map or variant column, rows cannot be compared and are not folded.)
+Rows with equal keys are told apart by a hash of their other columns.  Rows equal in all columns are interchangeable
+and share a bucket; those with more copies than an eighth of a bucket's rows are folded into one row with a count and dealt out
+again by their number, so that repeats, however many, fill no bucket.  (With a map or variant column, rows cannot be
+compared and are not folded.)
 
 Nulls: a null id hashes like the text ``null``; a null text counts as none.  Repeated rows each get a
 slot of their own.  An empty table gives an empty result.  Columns named ``shard`` or ``slot`` are replaced, others
@@ -57,15 +58,14 @@ def _bytes(df: DataFrame) -> Column:
     return sum(sized[1:], sized[0]).cast("long")
 
 
-def _numbered(df: DataFrame, key: str, tie: Column, light: DataFrame) -> DataFrame:
-    """``df`` with __sm_key, __sm_tie and __sm_copy, the number of a row among rows equal to it."""
+def _numbered(df: DataFrame, key: str, tie: Column, times: DataFrame) -> DataFrame:
+    """``df`` with __sm_key, __sm_tie and __sm_copy: for the rows of ``times`` (__sm_key, __sm_tie, ...) their number among equal rows, else 0."""
     name = F.coalesce(F.col(key).cast("string"), F.lit("null"))
     whole = df.withColumns({"__sm_key": name, "__sm_tie": tie})
     single = whole.withColumn("__sm_copy", F.lit(0).cast("long"))
-    repeats = light.groupBy("__sm_key", "__sm_tie").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    if any(k in kind for _, kind in df.dtypes for k in ("map<", "variant")) or not repeats.limit(1).count():
+    repeats = times.select("__sm_key", "__sm_tie")
+    if not repeats.limit(1).count():
         return single
-    repeats = save(repeats, "sharding-repeats")
     few = repeats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     known = F.broadcast(repeats) if few else repeats
     on = ["__sm_key", "__sm_tie"]
@@ -88,15 +88,18 @@ def external_shuffle(df: DataFrame, key: str, n_shards: int, seed: int = 42, buc
     n, size = light.agg(F.count("*"), F.sum("__sm_bytes")).first()
     n_buckets = max(1, -(-n // bucket_rows), -(-(size or 0) // bucket_bytes))
     bucket = F.pmod(F.xxhash64(F.lit(seed), "__sm_key", "__sm_tie", "__sm_copy"), F.lit(n_buckets))
-    whole = _numbered(df, key, tie, light).withColumn("__sm_bucket", bucket)
-
-    times = light.groupBy("__sm_key", "__sm_tie").agg(F.count("*").alias("c"))
-    parts = times.withColumn("__sm_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / COPIES))))
+    alike = light.groupBy("__sm_key", "__sm_tie").agg(F.count("*").alias("c"))
     mapped = any(k in kind for _, kind in df.dtypes for k in ("map<", "variant"))
+    most = F.lit(max(1, bucket_rows // 8))
+    often = save(alike.where(F.lit(not mapped) & (F.col("c") > most)), "sharding-often")
+    whole = _numbered(df, key, tie, often).withColumn("__sm_bucket", bucket)
+
+    parts = often.withColumn("__sm_part", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("c") - 1) / COPIES))))
     first = F.col("__sm_part") * COPIES
-    numbers = F.sequence(first, F.least(first + COPIES, F.col("c")) - 1)
-    each = light.withColumn("__sm_copy", F.lit(0).cast("long")) if mapped else parts.withColumn("__sm_copy", F.explode(numbers))
-    counts = save(each.groupBy(bucket.alias("__sm_bucket")).agg(F.count("*").alias("__sm_n")), "sharding-buckets").withColumn("__sm_all", F.lit(0))
+    each = parts.select("__sm_key", "__sm_tie", F.explode(F.sequence(first, F.least(first + COPIES, F.col("c")) - 1)).alias("__sm_copy"), F.lit(1).cast("long").alias("c"))
+    rest = alike.where(F.lit(mapped) | (F.col("c") <= most)).select("__sm_key", "__sm_tie", F.lit(0).cast("long").alias("__sm_copy"), "c")
+    counts = rest.union(each).groupBy(bucket.alias("__sm_bucket")).agg(F.sum("c").alias("__sm_n"))
+    counts = save(counts, "sharding-buckets").withColumn("__sm_all", F.lit(0))
     places = bin_offsets(counts, ["__sm_all"], "__sm_bucket", "__sm_n", "__sm_before")
     perm = fisher_yates(F.col("__sm_n"), seed + 1, F.col("__sm_bucket"))
     perms = places.select("__sm_bucket", "__sm_before", perm.alias("__sm_perm"))
