@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.operators.graph import kept
+
 MIN_TOKENS, SHINGLE, LANES, LANE_BITS = 24, 5, 4, 16
 #: Rows of one lane value that meet in one task; more are cut into parts.
 LANE_ROWS = 2048
@@ -110,7 +112,8 @@ def near_misses(prints: DataFrame, radius: int, lane_rows: int = LANE_ROWS) -> D
     Pairs of representatives: ``between_members`` makes them the pairs of all texts.
     """
     reps = distinct_representatives(prints)
-    pairs = _meetings(simhash(reps), lane_rows).withColumn("hamming", hamming("x", "y")).where(F.col("hamming") <= radius)
+    hashes = kept(simhash(reps))  # met from both sides: hashed once
+    pairs = _meetings(hashes, lane_rows).withColumn("hamming", hamming("x", "y")).where(F.col("hamming") <= radius)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "hamming")
     sets = reps.select("id", F.array_distinct("tokens").alias("kinds"), "n_tokens")
     x, y = sets.alias("x"), sets.alias("y")
@@ -120,5 +123,5 @@ def near_misses(prints: DataFrame, radius: int, lane_rows: int = LANE_ROWS) -> D
     ratio = F.least("x.n_tokens", "y.n_tokens") / F.greatest("x.n_tokens", "y.n_tokens")
     both = both.withColumns({"jaccard": jaccard, "ratio": ratio})
     both = both.withColumn("confidence", (1 - F.col("hamming") / 64) * 0.55 + F.col("jaccard") * 0.45)
-    kept = both.where((F.col("jaccard") >= MIN_JACCARD) & (F.col("ratio") >= MIN_RATIO) & (F.col("confidence") >= MIN_CONFIDENCE))
-    return kept.select("a", "b", F.col("hamming").cast("long").alias("hamming"), F.round("jaccard", 6).alias("jaccard"), F.round("ratio", 6).alias("ratio"), F.round("confidence", 6).alias("confidence"))
+    passed = both.where((F.col("jaccard") >= MIN_JACCARD) & (F.col("ratio") >= MIN_RATIO) & (F.col("confidence") >= MIN_CONFIDENCE))
+    return passed.select("a", "b", F.col("hamming").cast("long").alias("hamming"), F.round("jaccard", 6).alias("jaccard"), F.round("ratio", 6).alias("ratio"), F.round("confidence", 6).alias("confidence"))

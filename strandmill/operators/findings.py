@@ -6,33 +6,119 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 COLUMNS = ["id", "kind", "severity", "confidence", "target"]
+#: What a finding carries besides, where it is asked for.
+DETAILS = ["files", "symbols", "action", "evidence"]
+EVIDENCE = "array<struct<kind:string,file:string,symbol:string,detail:string,score:double>>"
+# What a finding of a kind advises.
+ACTIONS = {
+    "exact_clone": "Merge duplicate implementations behind one canonical helper, then redirect callers.",
+    "near_clone": "Inspect both implementations and extract a shared helper or delete the weaker copy.",
+    "type_shape_duplicate": "Replace parallel DTO/type aliases with a shared canonical type or explicitly document why the duplication is intentional.",
+    "cycle": "Break the cycle by extracting an interface boundary or relocating shared contracts to a lower layer.",
+    "package_cycle": "Reassign ownership so package dependencies flow in one direction only.",
+    "dead_code": "Delete the export, move it behind a lazy boundary, or add the real entrypoint to the configuration.",
+    "api_changed": "Update callers, add compatibility shims, or refresh the API baseline intentionally.",
+    "api_removed": "Restore the export, add a migration path, or intentionally refresh baseline after updating dependents.",
+    "session_conflict": "Coordinate ownership before applying edits, or narrow both sessions to disjoint subgraphs.",
+}
 
 
 def rank(severity: Column) -> Column:
     return F.when(severity == "error", 2).when(severity == "warn", 1).otherwise(0)
 
 
+def named(severity_rank: Column) -> Column:
+    return F.when(severity_rank == 2, "error").when(severity_rank == 1, "warn").otherwise("info")
+
+
 def finding(df: DataFrame, kind: str, key: Column, target: Column) -> DataFrame:
     return df.select(F.concat_ws(":", F.lit(kind), key).alias("id"), F.lit(kind).alias("kind"), "severity", F.col("confidence").cast("double").alias("confidence"), target.cast("string").alias("target"))
 
 
+def detailed(df: DataFrame, kind: str, key: Column, target: Column, files: Column, symbols: Column, action: Column, evidence: Column | None = None) -> DataFrame:
+    """Findings with the files that they touch, their symbols, the advice and up to four pieces of evidence."""
+    strings = "array<string>"
+    proof = F.slice(evidence, 1, 4) if evidence is not None else F.array()
+    return df.select(
+        F.concat_ws(":", F.lit(kind), key).alias("id"), F.lit(kind).alias("kind"), "severity", F.col("confidence").cast("double").alias("confidence"), target.cast("string").alias("target"),
+        F.array_sort(F.array_distinct(files)).cast(strings).alias("files"), symbols.cast(strings).alias("symbols"), action.alias("action"), proof.cast(EVIDENCE).alias("evidence"),
+    )
+
+
+def proof(kind: str, file: Column, symbol: Column, detail: Column, score: Column) -> Column:
+    """One piece of evidence."""
+    return F.struct(F.lit(kind).alias("kind"), file.alias("file"), symbol.alias("symbol"), detail.alias("detail"), score.cast("double").alias("score"))
+
+
 def order() -> list[Column]:
     return [F.desc(rank(F.col("severity"))), F.desc("confidence"), F.asc("id")]
 
 
+def distinct(found: DataFrame) -> DataFrame:
+    """Findings without those that would stand beside an equal id in canonical order."""
+    key = ["severity", "confidence", "id"]
+    rest = [c for c in found.columns if c not in key]
+    one = found.groupBy(*key).agg(F.min(F.struct(*rest)).alias("rest"))
+    return one.select(*[F.col(c) if c in key else F.col(f"rest.{c}").alias(c) for c in found.columns])
+
+
 def top(found: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` findings in canonical order, numbered, without neighbours of equal id, and whether more were cut.
+    """First ``limit`` findings in canonical order without equal neighbours, numbered, and whether more were cut.
 
-    Twice the limit is fetched by a top-k before anything is numbered, so the window runs over few rows.
+    Equal ones are folded before a top-k fetches one row more than asked for, so the window runs over few rows.
     """
-    fetched = found.orderBy(*order()).limit(2 * limit)
-    w = Window.orderBy(*order())
-    kept = fetched.withColumn("before", F.lag("id").over(w)).where("before IS NULL OR before <> id").drop("before")
-    numbered = kept.withColumns({"position": F.row_number().over(w), "total": F.count("*").over(Window.partitionBy(F.lit(0)))})
-    return numbered.where(F.col("position") <= limit).select(*COLUMNS, F.col("position").cast("long").alias("position"), (F.col("total") > limit).alias("truncated"))
+    fetched = distinct(found).orderBy(*order()).limit(limit + 1)
+    numbered = fetched.withColumns({"position": F.row_number().over(Window.orderBy(*order())), "total": F.count("*").over(Window.partitionBy(F.lit(0)))})
+    kept = [c for c in [*COLUMNS, *DETAILS] if c in found.columns]
+    return numbered.where(F.col("position") <= limit).select(*kept, F.col("position").cast("long").alias("position"), (F.col("total") > limit).alias("truncated"))
+
+
+def omitted(found: DataFrame, limit: int) -> DataFrame:
+    """One row: how many findings there are, how many of them ``top`` returns and how many it leaves out."""
+    total = distinct(found).agg(F.count("*").alias("total"))
+    shown = F.least("total", F.lit(limit))
+    return total.select("total", shown.alias("shown"), (F.col("total") - shown).alias("omitted"), (F.col("total") > limit).cast("long").alias("truncated_outputs"))
+
+
+def touching(found: DataFrame, paths: DataFrame) -> DataFrame:
+    """Findings with a file among ``paths`` (path)."""
+    hit = found.select("id", F.explode("files").alias("path")).join(paths.select("path").distinct(), "path", "left_semi").select("id").distinct()
+    return found.join(hit, "id", "left_semi")
+
+
+def of_kinds(found: DataFrame, *kinds: str) -> DataFrame:
+    return found.where(F.col("kind").isin(*kinds))
+
+
+def at_least(found: DataFrame, severity: str = "info", confidence: float = 0.0) -> DataFrame:
+    """Findings that are as severe and as certain as asked for."""
+    return found.where((rank(F.col("severity")) >= rank(F.lit(severity))) & (F.col("confidence") >= confidence))
 
 
-#: (kind, points for each, most, needed for warn; None: fixed severity)
+def without_evidence(found: DataFrame) -> DataFrame:
+    return found.withColumn("evidence", F.array().cast(EVIDENCE))
+
+
+def files_of(found: DataFrame, fallback: DataFrame | None = None, most: int = 12) -> DataFrame:
+    """(path): the first ``most`` files of the findings by name; without any, those of ``fallback`` (path)."""
+    own = found.select(F.explode("files").alias("path")).distinct().orderBy("path").limit(most)
+    if fallback is None:
+        return own
+    none = own.agg(F.count("*").alias("n")).where("n = 0")
+    return own.union(fallback.select("path").distinct().orderBy("path").limit(most).crossJoin(F.broadcast(none)).select("path"))  # none: one row or no row
+
+
+def findings_limit(asked: int, configured: int) -> int:
+    """Findings to return: 0 asks for the configured number, which is also the most; one at least."""
+    return max(1, min(asked or configured, max(1, configured)))
+
+
+def files_limit(asked: int | None, configured: int) -> int:
+    """Files to return: 50 unless asked, one at least, and at most the configured findings or 200."""
+    return min(max(1, 50 if asked is None else asked), max(configured, 200))
+
+
+# Points for each, most points, number from which it is a warning (None: never by number), severity.
 REASONS = {
     "dependency_cone": (4, 30, 8, None),
     "reverse_dependents": (8, 30, 4, None),
@@ -46,21 +132,37 @@ REASONS = {
 
 
 def reasons(counts: DataFrame) -> DataFrame:
-    """``counts`` (kind, n) with score and severity, without kinds that count nothing."""
+    """``counts`` (kind, n, and if known highest, the rank of the worst finding counted) with score and severity, without kinds that count nothing."""
     score, severity = F.lit(None).cast("long"), F.lit("info")
     for kind, (each, most, warn_at, fixed) in REASONS.items():
         here = F.col("kind") == kind
         score = F.when(here, F.least(each * F.col("n"), F.lit(most))).otherwise(score)
         severity = F.when(here, F.lit(fixed) if fixed else F.when(F.col("n") >= warn_at, "warn").otherwise("info")).otherwise(severity)
+    if "highest" in counts.columns:
+        severity = F.when(F.col("highest").isNotNull(), named(F.col("highest"))).otherwise(severity)
     return counts.where("n > 0").select("kind", F.col("n").cast("long").alias("n"), score.cast("long").alias("score"), severity.alias("severity"))
 
 
+def reason_order() -> list[Column]:
+    return [F.desc(rank(F.col("severity"))), F.desc("score"), F.asc("kind")]
+
+
+def in_order(found: DataFrame) -> DataFrame:
+    """Reasons, of which there are eight at most, with their place: severity, then score, then kind."""
+    return found.withColumn("position", F.row_number().over(Window.orderBy(*reason_order())).cast("long"))
+
+
 def risk(found: DataFrame) -> DataFrame:
     """One row: score capped at 100 and its level."""
     total = found.agg(F.least(F.coalesce(F.sum("score"), F.lit(0)), F.lit(100)).cast("long").alias("score"), F.count("*").alias("reasons"))
     return total.withColumn("level", F.when(F.col("score") >= 60, "high").when(F.col("score") >= 25, "medium").otherwise("low"))
 
 
+def safe_to_edit(total: DataFrame, strict: bool = True) -> DataFrame:
+    """``total`` of ``risk`` with safe_to_edit: the level is low, or, unless ``strict``, not high."""
+    return total.withColumn("safe_to_edit", F.col("level") == "low" if strict else F.col("level") != "high")
+
+
 def focus(points: DataFrame, limit: int) -> DataFrame:
     """``points`` (target, kind, severity, score) by target: worst severity, capped score, kinds, confidence; the first ``limit``."""
     out = points.groupBy("target").agg(
@@ -69,14 +171,3 @@ def focus(points: DataFrame, limit: int) -> DataFrame:
     )
     out = out.withColumn("confidence", F.round(F.least(F.lit(0.99), 0.5 + F.least("score", F.lit(50)) / 100), 6))
     return out.orderBy(F.desc("severity_rank"), F.desc("score"), "target").limit(limit)
-
-
-def markdown(found: DataFrame) -> DataFrame:
-    return found.select("id", F.format_string("## %s\n- severity: %s\n- kind: %s\n- target: %s", "id", "severity", "kind", "target").alias("section"))
-
-
-def sarif(found: DataFrame) -> DataFrame:
-    """(id, result): one SARIF result object per finding."""
-    level = F.when(F.col("severity") == "error", "error").when(F.col("severity") == "warn", "warning").otherwise("note")
-    place = F.struct(F.struct(F.struct(F.col("target").alias("uri")).alias("artifactLocation")).alias("physicalLocation"))
-    return found.select("id", F.to_json(F.struct(F.col("kind").alias("ruleId"), level.alias("level"), F.struct(F.col("id").alias("text")).alias("message"), F.array(place).alias("locations"))).alias("result"))

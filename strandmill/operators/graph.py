@@ -3,17 +3,37 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _folder(spark: SparkSession) -> str:
+    """The shared folder for what loops write; a local one is made only where none is configured and the master is local."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="strandmill-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a loop in the shared checkpoint folder; a local one is set only where none is configured."""
+    """Cut the lineage of a loop: write ``df`` once as a table in the shared folder and read it back."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandmill-"))
+    path = f"{_folder(spark)}/strandmill/{spark.sparkContext.applicationId}/kept-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def pinned(df: DataFrame) -> DataFrame:
+    """As ``kept``, with the partitions and their order as they are."""
+    spark = df.sparkSession
+    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
+        spark.sparkContext.setCheckpointDir(_folder(spark))
     return df.checkpoint()
 
 
@@ -38,6 +58,38 @@ def cone(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
     return out
 
 
+def cones(seeds: DataFrame, edges: DataFrame, depth: int) -> DataFrame:
+    """(owner, node): for each owner of ``seeds`` (owner, node), the nodes within ``depth`` undirected steps of its seeds."""
+    both = kept(undirected(edges).withColumnsRenamed({"src": "node", "dst": "next"}))
+    out = frontier = kept(seeds.select("owner", "node").distinct())
+    for _ in range(min(depth, 8)):
+        frontier = kept(frontier.join(both, "node").select("owner", F.col("next").alias("node")).distinct().join(out, ["owner", "node"], "left_anti"))
+        out = out.union(frontier)
+    return out
+
+
+def callers(of: DataFrame, edges: DataFrame, most: int = 12) -> DataFrame:
+    """(node, callers): for each node of ``of``, nodes that lead to it, nearest first, then by name, ``most`` of them."""
+    back = edges.where("dst IS NOT NULL").select(F.col("dst").alias("at"), F.col("src").alias("caller")).distinct()
+    start = of.select("node").distinct()
+    first = Window.partitionBy("node").orderBy("steps", "caller")
+    found = kept(start.join(back, F.col("node") == F.col("at")).select("node", "caller", F.lit(1).alias("steps")).withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= most))
+    for step in range(2, most + 1):  # ``most`` callers lie within as many steps
+        next_ = found.where(F.col("steps") == step - 1).join(back.withColumnRenamed("caller", "more"), F.col("caller") == F.col("at"))
+        new = next_.select("node", F.col("more").alias("caller"), F.lit(step).alias("steps")).distinct().join(found, ["node", "caller"], "left_anti")
+        if not new.limit(1).count():
+            break
+        all_ = found.drop("nth").union(new).withColumn("nth", F.row_number().over(first))
+        found = kept(all_.where(F.col("nth") <= most))
+    return found.groupBy("node").agg(F.array_sort(F.collect_list("caller")).alias("callers"))
+
+
+def cycle_edges(cycles: DataFrame, column: str) -> DataFrame:
+    """(src, dst) of neighbours in the arrays ``column``."""
+    pairs = F.transform(F.sequence(F.lit(1), F.size(column) - 1), lambda i: F.struct(F.element_at(column, i).alias("src"), F.element_at(column, i + 1).alias("dst")))
+    return cycles.where(F.size(column) > 1).select(F.explode(pairs).alias("e")).select("e.src", "e.dst").distinct()
+
+
 def reachable(seeds: DataFrame, edges: DataFrame, reverse: bool = False) -> DataFrame:
     """Nodes that edges lead to from the seeds, the seeds included.  A round per step; only emptiness is asked of the driver."""
     seen = kept(seeds.select("node").distinct())
@@ -99,8 +151,6 @@ def consecutive(events: DataFrame, order: list[str], bucket: str, value: str) ->
 
     The order runs inside buckets; the ends of neighbouring buckets are joined by a window over one row per bucket.
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(bucket).orderBy(*order)
     rows = events.select(bucket, *order, F.col(value).alias("src"), F.lead(value).over(w).alias("dst"))
     ends = events.groupBy(bucket).agg(F.min_by(value, F.struct(*order)).alias("head"), F.max_by(value, F.struct(*order)).alias("tail"))

@@ -10,7 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.operators.graph import kept
+from strandmill.operators import graph
+from strandmill.operators.graph import kept, pinned
 
 
 def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
@@ -38,6 +39,39 @@ def conflicts(touched: DataFrame, least: float = 0.25) -> DataFrame:
     )
 
 
+def snapshots(touches: DataFrame, edges: DataFrame, depth: int = 2) -> DataFrame:
+    """(session, at, file, direct): what each session's last batch touched and what lies within ``depth`` import steps of it.
+
+    ``touches`` is (session, at, path).  A later batch replaces an earlier one; blank sessions are left out.
+    """
+    real = touches.where("session IS NOT NULL AND trim(session) <> ''")
+    last = real.groupBy("session").agg(F.max("at").alias("at"))
+    own = kept(real.join(last, ["session", "at"]).select("session", "at", F.col("path").alias("file")).distinct())
+    around = graph.cones(own.select(F.col("session").alias("owner"), F.col("file").alias("node")), edges, depth)
+    whole = around.select(F.col("owner").alias("session"), F.col("node").alias("file")).join(last, "session")
+    direct = own.select("session", "file", F.lit(True).alias("direct"))
+    return whole.join(direct, ["session", "file"], "left").select("session", "at", "file", F.coalesce("direct", F.lit(False)).alias("direct"))
+
+
+def active(found: DataFrame, now_ms: int, ttl_ms: int = 900_000) -> DataFrame:
+    """Rows (session, at, ...) that are at most ``ttl_ms`` old."""
+    return found.where(F.lit(now_ms) - F.col("at") <= ttl_ms)
+
+
+def stale(found: DataFrame, now_ms: int, ttl_ms: int = 900_000) -> DataFrame:
+    return found.where(F.lit(now_ms) - F.col("at") > ttl_ms)
+
+
+def first_named(pairs: DataFrame, present: DataFrame, session: str | None) -> DataFrame:
+    """``pairs`` (a, b, ...) with ``session`` first where it takes part; none at all if it is not among ``present`` (session)."""
+    if session is None:
+        return pairs
+    there = present.where(F.col("session") == session).select(F.lit(1).alias("__there")).limit(1)
+    turned = F.col("b") == session
+    both = {"a": F.when(turned, F.col("b")).otherwise(F.col("a")), "b": F.when(turned, F.col("a")).otherwise(F.col("b"))}
+    return pairs.withColumns(both).crossJoin(F.broadcast(there)).drop("__there")  # one row or none
+
+
 def debounce(events: DataFrame, key: str, at: str, order: str, gap_ms: int) -> DataFrame:
     """(key, batch, started, ended, n): runs of events with gaps of at most ``gap_ms``; ``at`` is in milliseconds."""
     w = Window.partitionBy(key).orderBy(at, order)
@@ -72,7 +106,7 @@ def cooldown(events: DataFrame, key: str, at: str, order: str, quiet_ms: int) ->
         return rows
     timed = rows.where(F.col(at).isNotNull()).groupBy(key, at).agg(F.min(F.struct(order)).alias("first"))
     timed = timed.select(key, F.col(f"first.{order}").alias(order), F.col(at).cast("long").alias(at))
-    ranges = kept(timed.repartitionByRange(key, at).sortWithinPartitions(key, at))
+    ranges = pinned(timed.repartitionByRange(key, at).sortWithinPartitions(key, at))
 
     def ends(batches):
         first, now, last, alone, times = None, None, None, True, []

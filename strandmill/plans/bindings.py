@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.operators import changes, clones, findings, graph, sessions, store
+from strandmill.functions import source_text
+from strandmill.functions.paths import glob_pattern
+from strandmill.operators import changes, clones, factstore, findings, graph, reports, sessions, store
+from strandmill.streaming import changes as streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -60,23 +63,6 @@ def empty_key_load(spark, d):
     return store.keyed(table(spark, d, "documents").select("doc_id", "source", "n_chars"), keys, "doc_id")
 
 
-def glob_pattern(globs: list[str]) -> str:
-    """One regex for any of the globs; a star crosses slashes, ``**/`` may be empty."""
-    out = []
-    for g in globs:
-        r, i = "", 0
-        while i < len(g):
-            if g.startswith("**/", i):
-                r, i = r + "(?:.*/)?", i + 3
-                continue
-            c = g[i]
-            while c == "*" and g.startswith("*", i + 1):
-                i += 1
-            r, i = r + {"*": ".*", "?": "."}.get(c, c if c.isalnum() or c in "/_-" else "\\" + c), i + 1
-        out.append(r)
-    return "^(?:" + "|".join(out) + ")$"
-
-
 IGNORE = ["**/a*", "**/the*", "*.min.js"]
 
 
@@ -367,7 +353,8 @@ def baseline_diff(spark, d):
 @query("SELECT p_brand AS source_file, p_name || '#' || p_partkey AS export_name, (SELECT count(*)::BIGINT FROM part) AS total FROM part ORDER BY 1, 2 LIMIT 50")
 def api_surface_topk(spark, d):
     parts = table(spark, d, "part").select(F.col("p_brand").alias("source_file"), F.concat_ws("#", "p_name", F.col("p_partkey").cast("string")).alias("export_name"))
-    return parts.orderBy("source_file", "export_name").limit(50).withColumn("total", F.lit(parts.count()).cast("long"))
+    total = parts.agg(F.count("*").alias("total"))
+    return parts.orderBy("source_file", "export_name").limit(50).crossJoin(F.broadcast(total))  # one row
 
 
 @query("SELECT p_name, arg_max(p_type, p_partkey) AS signature, count(*)::BIGINT AS passes FROM part GROUP BY p_name")
@@ -418,8 +405,8 @@ _TOUCHED = f"w AS (SELECT max({_MS}) - 259200000 AS since FROM events), x AS (SE
 
 def touched(spark, d) -> DataFrame:
     e = timed(spark, d)
-    since = e.agg((F.max("at") - 259_200_000).alias("since")).first()[0]  # one number
-    return e.where(F.col("at") >= F.lit(since or 0)).select(F.col("user_id").alias("session"), F.col("k").alias("file"), (F.col("event_type") == "purchase").alias("direct"))
+    since = e.agg((F.max("at") - 259_200_000).alias("since"))
+    return e.crossJoin(F.broadcast(since)).where(F.col("at") >= F.col("since")).select(F.col("user_id").alias("session"), F.col("k").alias("file"), (F.col("event_type") == "purchase").alias("direct"))
 
 
 _CONFLICTS = f"""{_TOUCHED}, n AS (SELECT session, count(*) AS n FROM x GROUP BY session),
@@ -535,20 +522,32 @@ def findings_truncated(spark, d):
     return findings.top(all_findings(spark, d), 50)
 
 
-_REASONS = f"""rc AS (SELECT 'public_exports' AS kind, (SELECT count(*) FROM part WHERE p_size = 1) AS n UNION ALL SELECT 'api_drift', (SELECT count(*) FROM fu WHERE kind = 'api_drift') UNION ALL SELECT 'session_conflicts', (SELECT count(*) FROM cf)
- UNION ALL SELECT 'nearby_findings', (SELECT count(*) FROM fu WHERE kind IN ('semantic_clone', 'dead_code')) UNION ALL SELECT 'dependency_cone', (SELECT count(DISTINCT user_id) FROM events WHERE value > 199)),
- rs AS (SELECT kind, n::BIGINT AS n, least(n * CASE kind WHEN 'public_exports' THEN 10 WHEN 'api_drift' THEN 20 WHEN 'session_conflicts' THEN 20 WHEN 'nearby_findings' THEN 6 ELSE 4 END, CASE kind WHEN 'api_drift' THEN 40 WHEN 'session_conflicts' THEN 40 WHEN 'nearby_findings' THEN 18 ELSE 30 END)::BIGINT AS score,
- CASE kind WHEN 'api_drift' THEN 'error' WHEN 'session_conflicts' THEN 'error' WHEN 'dependency_cone' THEN CASE WHEN n >= 8 THEN 'warn' ELSE 'info' END ELSE 'warn' END AS severity FROM rc WHERE n > 0)"""
+_POINTS = {k: v[0] for k, v in findings.REASONS.items()}
+_CAPS = {k: v[1] for k, v in findings.REASONS.items()}
+_CASE = lambda m: "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in m.items()) + " END"
+_REASONS = f"""rc AS (SELECT 'public_exports' AS kind, (SELECT count(*) FROM part WHERE p_size = 1) AS n, NULL::INT AS highest UNION ALL SELECT 'dependency_cone', (SELECT count(DISTINCT user_id) FROM events WHERE value > 199), NULL
+ UNION ALL SELECT 'reverse_dependents', (SELECT count(*) FROM supplier WHERE s_nationkey = 3), NULL UNION ALL SELECT 'dynamic_imports', (SELECT count(*) FROM dx WHERE dynamic_risk), NULL
+ UNION ALL SELECT 'cycles', (SELECT count(*) FROM nation WHERE n_regionkey = 1), 1
+ UNION ALL SELECT 'api_drift', count(*), max({_RANK}) FROM fu WHERE kind = 'api_drift' UNION ALL SELECT 'session_conflicts', count(*), max({_RANK}) FROM fu WHERE kind = 'session_conflict'
+ UNION ALL SELECT 'nearby_findings', count(*), max({_RANK}) FROM fu WHERE kind IN ('semantic_clone', 'dead_code')),
+ rs AS (SELECT kind, n::BIGINT AS n, least(n * {_CASE(_POINTS)}, {_CASE(_CAPS)})::BIGINT AS score,
+ CASE WHEN highest = 2 THEN 'error' WHEN highest = 1 THEN 'warn' WHEN highest = 0 THEN 'info' WHEN kind = 'dependency_cone' THEN CASE WHEN n >= 8 THEN 'warn' ELSE 'info' END WHEN kind = 'reverse_dependents' THEN CASE WHEN n >= 4 THEN 'warn' ELSE 'info' END ELSE 'warn' END AS severity FROM rc WHERE n > 0)"""
 
 
 def reasons(spark, d) -> DataFrame:
-    found = all_findings(spark, d).groupBy("kind").count()
     name = F.when(F.col("kind") == "api_drift", "api_drift").when(F.col("kind") == "session_conflict", "session_conflicts").otherwise("nearby_findings")
-    counts = found.groupBy(name.alias("k")).agg(F.sum("count").alias("n")).select(F.col("k").alias("kind"), "n")
-    one = lambda df, kind: df.select(F.lit(kind).alias("kind"), F.col("n").cast("long").alias("n"))
-    exports = table(spark, d, "part").where("p_size = 1").agg(F.count("*").alias("n"))
-    near = table(spark, d, "events").where("value > 199").agg(F.countDistinct("user_id").alias("n"))
-    return findings.reasons(counts.union(one(exports, "public_exports")).union(one(near, "dependency_cone")))
+    counts = all_findings(spark, d).groupBy(name.alias("k")).agg(F.count("*").alias("n"), F.max(findings.rank(F.col("severity"))).alias("highest")).select(F.col("k").alias("kind"), "n", "highest")
+    one = lambda df, kind, highest=None: df.agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), "n", F.lit(highest).cast("int").alias("highest"))
+    own = [
+        one(table(spark, d, "part").where("p_size = 1"), "public_exports"),
+        one(table(spark, d, "events").where("value > 199").select("user_id").distinct(), "dependency_cone"),
+        one(table(spark, d, "supplier").where("s_nationkey = 3"), "reverse_dependents"),
+        one(dead(spark, d).where("dynamic_risk"), "dynamic_imports"),
+        one(table(spark, d, "nation").where("n_regionkey = 1"), "cycles", 1),
+    ]
+    for df in own:
+        counts = counts.union(df)
+    return findings.reasons(counts)
 
 
 @query(f"WITH {_FINDINGS}, {_REASONS} SELECT * FROM rs")
@@ -592,14 +591,129 @@ def health_checks(spark, d):
 
 @query(f"WITH {_FINDINGS} SELECT id, '## ' || id || chr(10) || '- severity: ' || severity || chr(10) || '- kind: ' || kind || chr(10) || '- target: ' || target AS section FROM fu")
 def report_markdown(spark, d):
-    return findings.markdown(all_findings(spark, d))
+    return reports.markdown(all_findings(spark, d))
 
 
 @query(f"""WITH {_FINDINGS} SELECT id, '{{"ruleId":"' || kind || '","level":"' || CASE severity WHEN 'error' THEN 'error' WHEN 'warn' THEN 'warning' ELSE 'note' END || '","message":{{"text":"' || id || '"}},"locations":[{{"physicalLocation":{{"artifactLocation":{{"uri":"' || target || '"}}}}}}]}}' AS result FROM fu""")
 def sarif_json(spark, d):
-    return findings.sarif(all_findings(spark, d))
+    return reports.sarif(all_findings(spark, d))
 
 
 @query(f"WITH {_FINDINGS} SELECT kind, count(DISTINCT id)::BIGINT AS ids, sha256(min(id)) AS first_key FROM fu GROUP BY kind")
 def stable_ids(spark, d):
     return all_findings(spark, d).groupBy("kind").agg(F.countDistinct("id").alias("ids"), F.sha2(F.encode(F.min("id"), "UTF-8"), 256).alias("first_key"))
+
+
+@query(f"WITH {_FINDINGS}, {_REASONS} SELECT *, row_number() OVER (ORDER BY {_RANK} DESC, score DESC, kind) AS position FROM rs")
+def risk_reason_order(spark, d):
+    return findings.in_order(reasons(spark, d))
+
+
+@query(f"WITH {_FINDINGS}, {_REASONS}, tot AS (SELECT least(coalesce(sum(score), 0), 100)::BIGINT AS score, count(*)::BIGINT AS reasons FROM rs) SELECT *, CASE WHEN score >= 60 THEN 'high' WHEN score >= 25 THEN 'medium' ELSE 'low' END AS level, score < 25 AS safe_to_edit FROM tot")
+def before_edit(spark, d):
+    return findings.safe_to_edit(findings.risk(reasons(spark, d)))
+
+
+@query(f"WITH {_FINDINGS} SELECT * FROM fu WHERE severity IN ('warn', 'error') AND confidence >= 0.8")
+def findings_at_least(spark, d):
+    return findings.at_least(all_findings(spark, d), "warn", 0.8)
+
+
+@query(f"WITH {_FINDINGS}, counted AS (SELECT count(*)::BIGINT AS total FROM (SELECT DISTINCT severity, confidence, id FROM fu)) SELECT total, least(total, 50) AS shown, total - least(total, 50) AS omitted, (total > 50)::BIGINT AS truncated_outputs FROM counted")
+def truncation_counters(spark, d):
+    return findings.omitted(all_findings(spark, d), 50)
+
+
+_COPIES = f"{_TOKENS}, cp AS (SELECT 'semantic_clone:' || hash AS id, CASE WHEN count(DISTINCT grp) > 2 THEN 'error' ELSE 'warn' END AS severity, 0.99::DOUBLE AS confidence, min(id)::VARCHAR AS target, list_sort(list(DISTINCT grp)) AS files, list_sort(list(DISTINCT id)) AS ids FROM p GROUP BY hash HAVING count(DISTINCT id) >= 2)"
+
+
+def copies(spark, d) -> DataFrame:
+    """Buckets of copies as detailed findings; the sources stand for files."""
+    p = prints(spark, d)
+    where = p.groupBy("hash").agg(F.collect_set("grp").alias("files"), F.array_sort(F.collect_set("id")).alias("ids"))
+    found = clones.exact_buckets(p).withColumn("confidence", F.lit(0.99)).join(where, "hash")
+    return findings.detailed(found, "semantic_clone", F.col("hash"), F.col("first_id"), F.col("files"), F.col("ids").cast("array<string>"), F.lit(findings.ACTIONS["exact_clone"]))
+
+
+@query(f"WITH {_COPIES} SELECT id, severity, array_to_string(files, '|') AS files FROM cp WHERE list_has_any(files, ['src3', 'src12'])")
+def findings_touching(spark, d):
+    paths = spark.createDataFrame([("src3",), ("src12",)], "path string")
+    return findings.touching(copies(spark, d), paths).select("id", "severity", F.array_join("files", "|").alias("files"))
+
+
+@query(f"WITH {_COPIES} SELECT DISTINCT f AS path FROM (SELECT unnest(files) AS f FROM cp) ORDER BY f LIMIT 12")
+def finding_files(spark, d):
+    """The first twelve files: a report."""
+    return findings.files_of(copies(spark, d))
+
+
+_ACTION = findings.ACTIONS["exact_clone"]
+
+
+@query(f"WITH {_COPIES}, f AS (SELECT id FROM cp ORDER BY id LIMIT 1) SELECT id, id || chr(10) || 'kind: semantic_clone' || chr(10) || 'severity: ' || severity || chr(10) || 'confidence: ' || printf('%.2f', confidence) || chr(10) || 'action: {_ACTION}' AS text FROM cp")
+def finding_explained(spark, d):
+    return reports.explained(copies(spark, d))
+
+
+@query(f"""WITH {_COPIES}, o AS (SELECT *, row_number() OVER (ORDER BY {_RANK} DESC, confidence DESC, id) AS nth FROM cp),
+ body_ AS (SELECT string_agg('## semantic_clone' || chr(10) || chr(10) || 'id: ' || id || chr(10) || 'severity: ' || severity || chr(10) || 'confidence: ' || printf('%.2f', confidence) || chr(10) || chr(10) || '{_ACTION}', chr(10) ORDER BY nth) AS body FROM o WHERE nth <= 5)
+ SELECT CASE WHEN body IS NULL THEN '{reports.HEADING}' || chr(10) || chr(10) || 'No findings.' || chr(10) ELSE '{reports.HEADING}' || chr(10) || chr(10) || body || chr(10) END AS report FROM body_""")
+def report_document(spark, d):
+    """The report of the first five."""
+    return reports.markdown_report(copies(spark, d), 5)
+
+
+@query(f"""WITH {_COPIES} SELECT '1970-01-02T00:00:00.000Z' AS ts, 'discovery' AS type, CASE WHEN (SELECT count(*) FROM cp) = 0 THEN 'report: 0 finding(s)'
+ ELSE 'report: ' || (SELECT count(*) FROM cp) || ' finding(s); top finding semantic_clone ' || (SELECT id FROM cp ORDER BY {_RANK} DESC, confidence DESC, id LIMIT 1) || ' - {_ACTION}' END AS content""")
+def journal_entry(spark, d):
+    return reports.journal(copies(spark, d), 86_400_000)
+
+
+@query(f"""WITH {_COPIES} SELECT '{{"id":"' || id || '","severity":"' || severity || '","firstId":"' || target || '"}}' AS json FROM cp""")
+def result_json(spark, d):
+    return reports.as_json(copies(spark, d).select("id", "severity", F.col("target").alias("first_id")))
+
+
+@query(f"WITH {_CONFLICTS}, live AS (SELECT DISTINCT session FROM x), s AS (SELECT min(session) AS s FROM live) SELECT CASE WHEN b = s THEN b ELSE a END AS a, CASE WHEN b = s THEN a ELSE b END AS b, severity FROM cf, s")
+def session_filter(spark, d):
+    rows = touched(spark, d)
+    # The smallest session stands for the one asked for; asking needs its name.
+    first = rows.agg(F.min("session")).first()[0]
+    return sessions.first_named(sessions.conflicts(rows), rows.select("session").distinct(), first).select("a", "b", "severity")
+
+
+#: 2024-01-08, in milliseconds.
+PRUNE_AT = 1_704_672_000_000
+
+
+@query(f"SELECT name, n FROM (SELECT 'log' AS name, count(*) FILTER (WHERE {_MS} < w.c)::BIGINT AS n FROM events, (SELECT {PRUNE_AT} AS c) w UNION ALL SELECT 'sessions', 0::BIGINT)")
+def prune_counts(spark, d):
+    log = timed(spark, d)
+    return factstore.prune(log, log.limit(0), "at", PRUNE_AT + 3 * 86_400_000, 3)[2]
+
+
+@query("SELECT event_type, event_id, value FROM (SELECT event_type, event_id, value, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS nth FROM events) WHERE nth <= 4")
+def evidence_first_k(spark, d):
+    """Four per group: what a finding shows."""
+    return store.first_per(table(spark, d, "events").select("event_type", "event_id", "value"), "event_type", [F.desc("value"), F.asc("event_id")], 4)
+
+
+@query("SELECT CASE event_type WHEN 'purchase' THEN 'event' ELSE 'watcher' END AS session, user_id::VARCHAR AS path FROM events WHERE event_type IN ('purchase', 'view', 'click') AND user_id IS NOT NULL")
+def watch_events(spark, d):
+    kind = F.when(F.col("event_type") == "purchase", "file.edited").otherwise("file.watcher.updated")
+    change = F.when(F.col("event_type") == "view", "add").when(F.col("event_type") == "click", "change").otherwise("unlink")
+    return streams.watched(table(spark, d, "events").select(kind.alias("type"), F.col("user_id").cast("string").alias("file"), change.alias("change")))
+
+
+@query(f"WITH {_TAGS} SELECT page_id, least(8, list_max(list_transform(string_split(members, '|'), lambda m: length(m) - length(replace(replace(m, '<', ''), '{{', '')))))::INT AS depth, array_to_string(string_split(members, '|')[1:5], ',') AS preview FROM sh")
+def shape_preview(spark, d):
+    tags = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit("<([a-z0-9]+)"), F.lit(1))).alias("tag"))
+    members = tags.groupBy("page_id", "tag").agg(F.count("*").alias("n")).select("page_id", F.concat_ws(":", "tag", F.col("n").cast("string")).alias("member"))
+    shapes = members.groupBy("page_id").agg(F.array_sort(F.collect_set("member")).alias("members"))
+    return shapes.select("page_id", source_text.depth(F.col("members")).cast("int").alias("depth"), source_text.preview(F.col("members")).alias("preview"))
+
+
+@query("SELECT DISTINCT a AS src, b AS dst FROM (SELECT unnest(ids[:-2]) AS a, unnest(ids[2:]) AS b FROM (SELECT list(n_name ORDER BY n_name) AS ids FROM nation GROUP BY n_regionkey))")
+def cycle_pairs(spark, d):
+    loops = table(spark, d, "nation").groupBy("n_regionkey").agg(F.array_sort(F.collect_list("n_name")).alias("ids"))
+    return graph.cycle_edges(loops, "ids")

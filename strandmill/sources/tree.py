@@ -8,7 +8,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandmill.plans.bindings import glob_pattern
+from strandmill.functions.paths import glob_pattern
 
 # What a scan takes and leaves.
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "mts", "cts")

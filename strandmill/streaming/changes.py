@@ -32,3 +32,37 @@ def upsert_stream(changes: DataFrame, apply: Callable[[DataFrame, int], None], c
     """Hand every micro-batch to ``apply``, one after the other; a batch id repeats after a failure and must be applied idempotently."""
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
+
+
+def watched(events: DataFrame) -> DataFrame:
+    """(session, path) of editor and watcher events (type, file, change): edits, additions and changes of named files; deletions are left out."""
+    kind = F.when(F.col("type") == "file.edited", "event").when((F.col("type") == "file.watcher.updated") & F.col("change").isin("add", "change"), "watcher")
+    return events.where("file IS NOT NULL").select(kind.alias("session"), F.col("file").alias("path")).where("session IS NOT NULL")
+
+
+def session_states(touches: DataFrame, ttl_ms: int = 900_000) -> DataFrame:
+    """Stream of (session, last_seen, files, status) from a stream of (session, at, path), ``at`` in milliseconds.
+
+    A session's state is its last batch alone, and it is dropped with status ``stale`` when nothing came for ``ttl_ms``.
+    """
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(key, batches, state: GroupState):
+        if state.hasTimedOut:
+            seen, files = state.get
+            state.remove()
+            yield pd.DataFrame({"session": [key[0]], "last_seen": [seen], "files": [list(files)], "status": ["stale"]})
+            return
+        seen, files = state.get if state.exists else (-1, [])
+        for rows in batches:
+            last = int(rows["at"].max())
+            if last >= seen:
+                own = sorted(set(rows.loc[rows["at"] == last, "path"]))
+                seen, files = last, sorted({*files, *own}) if last == seen else own
+        state.update((seen, files))
+        state.setTimeoutDuration(ttl_ms)
+        yield pd.DataFrame({"session": [key[0]], "last_seen": [seen], "files": [list(files)], "status": ["active"]})
+
+    real = touches.where("session IS NOT NULL AND trim(session) <> ''")
+    return real.groupBy("session").applyInPandasWithState(step, "session string, last_seen long, files array<string>, status string", "seen long, files array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
