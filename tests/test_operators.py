@@ -90,6 +90,13 @@ def test_finding_order_and_truncation(spark):
     assert [r["id"] for r in got] == ["c", "a", "b"] and got[0]["truncated"]
 
 
+def test_equal_findings_do_not_use_up_the_limit(spark):
+    rows = [("a", "k", "warn", 0.9, "t")] * 90 + [(f"b{i:03}", "k", "warn", 0.5, "t") for i in range(200)]
+    df = spark.createDataFrame(rows, "id string, kind string, severity string, confidence double, target string")
+    got = findings.top(df, 50).collect()
+    assert len(got) == 50 and all(r["truncated"] for r in got) and findings.omitted(df, 50).first()[:] == (201, 50, 151, 1)
+
+
 def test_debounce_in_a_stream_equals_batch(spark, tmp_path):
     rows = [("s", f"2024-01-01 00:00:0{i // 4}.{(i % 4) * 150:03d}", f"f{i % 3}") for i in range(12)]
     df = spark.createDataFrame(rows, "s string, at string, f string").withColumn("at", F.to_timestamp("at"))
