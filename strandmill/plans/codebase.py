@@ -106,8 +106,13 @@ def index_changes(facts: factstore.FactStore, scan: DataFrame, asked: DataFrame
 
 
 def load(facts: factstore.FactStore) -> Facts:
-    """The stored facts."""
-    return Facts(**{f.name: facts.load(f.name) for f in fields(Facts)})
+    """The stored facts; a table without rows is empty."""
+    found = {f.name: facts.load(f.name) for f in fields(Facts)}
+    if any(table is None for table in found.values()):
+        none = facts.spark.createDataFrame([], "path string, source string")
+        empty = _scanned(none, none, 1, 1)
+        found = {name: getattr(empty, name) if table is None else table for name, table in found.items()}
+    return Facts(**found)
 
 
 def rebuild(facts: factstore.FactStore, scan: DataFrame, dry_run: bool = True) -> int:

@@ -190,10 +190,11 @@ def test_incremental_index_and_store(spark, tmp_path):
     st.overwrite("log", spark.createDataFrame([(k, k * day) for k in range(9)], "seq long, at long"), "seq")
     assert codebase.maintain(st, "log", 8 * day, 2, 3) == [("log", 5), ("sessions", 2), ("ring", 2)] and st.load("log").count() == 9
     codebase.maintain(st, "log", 8 * day, 2, 3, dry_run=False)
-    assert {r["seq"] for r in st.load("log").collect()} == {7, 8} and st.load("sessions").count() == 0
+    assert {r["seq"] for r in st.load("log").collect()} == {7, 8} and st.load("sessions") is None
     assert codebase.rebuild(st, scan(("src/c.ts", C))) == 1 and st.load("files").count() == 2
     codebase.rebuild(st, scan(("src/c.ts", C)), dry_run=False)
     assert st.load("files").count() == 1 and not st.has("findings_cache") and st.load("api_baseline").count() == 5
+    assert codebase.load(st).shapes.count() == 0 and codebase.load(st).exports.count() == 1
 
 
 def test_paths(spark):
