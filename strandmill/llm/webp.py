@@ -406,11 +406,27 @@ def unpack_palette(values: np.ndarray, width: int, table: np.ndarray) -> np.ndar
     return np.append(table, np.zeros(256, np.uint32))[index]
 
 
+def _lossless_chunk(data: bytes) -> bytes:
+    """The VP8L chunk of a simple or extended (VP8X) file; colour profile and metadata chunks are passed over."""
+    if len(data) < 20 or data[:4] != b"RIFF" or data[8:12] != b"WEBP":
+        raise ValueError("not a WebP file")
+    at, end = 12, min(len(data), 8 + struct.unpack_from("<I", data, 4)[0])
+    while at + 8 <= end:
+        kind, size = data[at : at + 4], struct.unpack_from("<I", data, at + 4)[0]
+        if kind == b"VP8L":
+            return data[at + 8 : min(at + 8 + size, end)]
+        if kind in (b"VP8 ", b"ANIM", b"ANMF"):
+            raise ValueError("a lossy or animated WebP file")
+        at += 8 + size + size % 2
+    raise ValueError("no lossless image in the WebP file")
+
+
 def decode(data: bytes) -> tuple[int, int, np.ndarray]:
-    """(width, height, ARGB pixels) of one WebP file."""
-    if len(data) < 25 or data[:4] != b"RIFF" or data[8:16] != b"WEBPVP8L" or data[20] != 0x2F:
+    """(width, height, ARGB pixels) of one WebP file.  The alpha bit of the header is a hint and not looked at."""
+    stream = _lossless_chunk(data)
+    if len(stream) < 5 or stream[0] != 0x2F:
         raise ValueError("not a lossless WebP file")
-    b = Bits(data[21 : 20 + struct.unpack_from("<I", data, 16)[0]])
+    b = Bits(stream[1:])
     width, height, _, version = b.read(14) + 1, b.read(14) + 1, b.read(1), b.read(3)
     if version:
         raise ValueError("unknown version")

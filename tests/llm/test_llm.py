@@ -64,6 +64,19 @@ def test_webp_rejects_damage():
         webp.decode(b"RIFF" + data[8:])
 
 
+def test_webp_reads_extended_files():
+    px = np.random.default_rng(5).integers(0, 2**32, 35, dtype=np.uint32)
+    plain = webp.encode(px, 7)
+    part = lambda kind, body: kind + len(body).to_bytes(4, "little") + body + b"\0" * (len(body) % 2)
+    head = part(b"VP8X", bytes([0x28, 0, 0, 0, 6, 0, 0, 4, 0, 0]))
+    whole = lambda *parts: b"RIFF" + (4 + sum(map(len, parts))).to_bytes(4, "little") + b"WEBP" + b"".join(parts)
+    got = webp.decode(whole(head, part(b"ICCP", b"abc"), plain[12:], part(b"EXIF", b"12345")))
+    assert got[:2] == (7, 5) and (got[2] == px).all()
+    for bad in (whole(head, part(b"ICCP", b"abc")), whole(head, part(b"ANIM", b"\0" * 6), plain[12:]), whole(part(b"VP8 ", b"\0" * 30))):
+        with pytest.raises(ValueError):
+            webp.decode(bad)
+
+
 def test_media_round_trip(spark, docs, rows):
     got = {r["doc_id"]: r for r in media.load(media.store(docs.select("doc_id", "text", "lang"), "text")).collect()}
     for i, t, *_ in rows:
