@@ -44,6 +44,8 @@ def session_states(touches: DataFrame, ttl_ms: int = 900_000) -> DataFrame:
     """Stream of (session, last_seen, files, status) from a stream of (session, at, path), ``at`` in milliseconds.
 
     A session's state is its last batch alone, and it is dropped with status ``stale`` when nothing came for ``ttl_ms``.
+    Rows without a session name, a time or a path are passed over.  Run it with a processing-time trigger, since timeouts
+    need batches without data; ``availableNow`` may not end.
     """
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -64,5 +66,5 @@ def session_states(touches: DataFrame, ttl_ms: int = 900_000) -> DataFrame:
         state.setTimeoutDuration(ttl_ms)
         yield pd.DataFrame({"session": [key[0]], "last_seen": [seen], "files": [list(files)], "status": ["active"]})
 
-    real = touches.where("session IS NOT NULL AND trim(session) <> ''")
+    real = touches.where("session IS NOT NULL AND trim(session) <> '' AND at IS NOT NULL AND path IS NOT NULL")
     return real.groupBy("session").applyInPandasWithState(step, "session string, last_seen long, files array<string>, status string", "seen long, files array<string>", "update", GroupStateTimeout.ProcessingTimeTimeout)
