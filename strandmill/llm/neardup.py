@@ -323,3 +323,34 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", th
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+#: The same rows by an inverted index over all shingles, for small tables: links between classes of equal sets, then what they reach.
+OP8_SQL = r"""
+WITH RECURSIVE
+worded AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+),
+sets AS (
+  SELECT doc_id, list_sort(list_distinct(CASE
+    WHEN len(ws) = 0 THEN []
+    WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')) END)) AS shingles
+  FROM worded
+),
+classed AS (SELECT doc_id, len(shingles) AS n, CASE WHEN len(shingles) > 0 THEN min(doc_id) OVER (PARTITION BY shingles) ELSE doc_id END AS rep, shingles FROM sets),
+postings AS (SELECT doc_id AS rep, n, unnest(shingles) AS shingle FROM classed WHERE doc_id = rep),
+links AS (
+  SELECT a.rep AS a, b.rep AS b FROM postings a JOIN postings b ON a.shingle = b.shingle AND a.rep <> b.rep
+  GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+),
+reach AS (
+  SELECT DISTINCT rep AS root, rep AS node FROM classed
+  UNION
+  SELECT reach.root, links.b FROM reach JOIN links ON links.a = reach.node
+),
+named AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM classed JOIN named ON named.node = classed.rep
+"""

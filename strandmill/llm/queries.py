@@ -19,4 +19,6 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op5_decontaminate": decontaminate.OP5_SQL,
+    "op8_neardup": neardup.OP8_SQL,
+    "op9_warc": warc.OP9_SQL,
 }
