@@ -14,6 +14,11 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts earlier in the c
 4. Windows with offset o before their anchor are equal where the common prefix reaches LENGTH - o and the o bytes
    before are equal; all but the first of these, by (id, place), are covered.
 
+An anchor that more than ``HOT_ROWS`` distinct pieces share (a common line before many different continuations) would
+fill one range.  Its pieces are taken apart into windows, each with its own hash as key: a block sends the first of
+its equal windows only, compared by their bytes, and the windows of one anchor spread over all ranges.  A window then has
+one row per block at most.
+
 Texts travel as compressed blocks.  A piece is known by 104 bits of hashes; what is merged is compared byte by byte.
 
 Nulls: a null text is empty, a null id sorts first.  Rows with equal ids are ordered by their place in the input
@@ -41,6 +46,8 @@ LENGTH, K = 100, 32
 SLICE = 1_000_000
 #: Suffixes in a range, about.
 RANGE_ROWS = 60_000
+#: Distinct pieces that may share an anchor's bytes before their windows are spread.
+HOT_ROWS = 200_000
 POS_BITS = 31
 NO_ID = -(2**63)
 
@@ -241,22 +248,52 @@ def merge(runs: list[Iterator[tuple[int, bytes]]]) -> Iterator[tuple[int, int]]:
             node //= 2
 
 
-_RUNS = "range long, shared binary, lengths binary, tails binary, left_lengths binary, lefts binary, meta binary"
+_RUNS = "range long, shared binary, lengths binary, tails binary, left_lengths binary, lefts binary, meta binary, known binary"
+
+
+def spread_windows(raw: bytes, pos: np.ndarray, n: np.ndarray, ids: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, hashes) of the first windows, by (id, place), of the pieces of one block, and the starts of those equal to an earlier one."""
+    starts = np.repeat(pos - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
+    starts = starts[np.lexsort((starts, np.repeat(ids, n)))]
+    seen: set[bytes] = set()
+    again = np.zeros(len(starts), bool)
+    hashes = np.zeros(len(starts), np.uint64)
+    for k, at in enumerate(starts.tolist()):
+        window = raw[at : at + length]
+        if window in seen:
+            again[k] = True
+        else:
+            seen.add(window)
+            hashes[k] = int.from_bytes(hashlib.blake2b(window, digest_size=8).digest(), "big")
+    return starts[~again], hashes[~again], starts[again]
 
 
-def sorted_runs(blocks: DataFrame, marks: DataFrame, ranges: int, length: int) -> DataFrame:
-    """Front-coded sorted runs, one per block and range: the keys are hash + bytes from the anchor on."""
+def sorted_runs(blocks: DataFrame, marks: DataFrame, ranges: int, length: int, hot: DataFrame | None = None) -> DataFrame:
+    """Front-coded sorted runs, one per block and range: the keys are hash + bytes from the anchor on.
+
+    ``hot`` (h): anchors whose windows are spread; what a block knows of them itself goes along as ``known`` (block, place, windows).
+    """
     wanted = marks.where("off >= 0")
+    wanted = wanted.join(hot.select("h", F.lit(True).alias("hot")), "h", "left") if hot is not None else wanted.withColumn("hot", F.lit(None).cast("boolean"))
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
         out: dict[str, list] = {c.split()[0]: [] for c in _RUNS.split(", ")}
         if len(right) and len(left):
             data = _blob(left.column("blob")[0].as_py())
             sizes, ids = np.array(left.column("sizes")[0].as_py(), np.int64), left.column("ids")[0].as_py()
+            ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
+            block = left.column("block")[0].as_py()
             offsets = np.concatenate(([0], np.cumsum(sizes)))
             raw = data.tobytes()
             pos, n, off, h = (right.column(c).to_numpy() for c in ("pos", "n", "off", "h"))
             h = tokens.mix(h.view(np.uint64))  # anchors have small hashes; mixed ones fill all ranges alike
+            known = np.zeros(0, np.int64)
+            is_hot = right.column("hot").is_valid().to_numpy()
+            if is_hot.any():
+                of = np.searchsorted(offsets, pos[is_hot], "right") - 1
+                starts, hashes, known = spread_windows(raw, pos[is_hot], n[is_hot], ids[of], length)
+                ones, zeros = np.ones(len(starts), np.int64), np.zeros(len(starts), np.int64)
+                pos, n, off, h = (np.concatenate((old[~is_hot], new)) for old, new in ((pos, starts), (n, ones), (off, zeros), (h, hashes)))
             of = np.searchsorted(offsets, pos, "right") - 1
             end = np.minimum(pos + n - 1 + length, offsets[of + 1])
             keys = [hh.to_bytes(8, "big") + raw[p + o : e] for hh, p, o, e in zip(h.tolist(), pos.tolist(), off.tolist(), end.tolist(), strict=True)]
@@ -265,10 +302,16 @@ def sorted_runs(blocks: DataFrame, marks: DataFrame, ranges: int, length: int) -
             for a, b in zip(*(lambda c: (c[:-1], c[1:]))(np.concatenate((np.flatnonzero(np.diff(part, prepend=-1)), [len(part)])).tolist()), strict=True):
                 chosen = order[a:b]
                 shared, lengths, tails = front_code([keys[k] for k in chosen])
-                meta = np.array([[NO_ID if ids[of[k]] is None else ids[of[k]], pos[k] + off[k], n[k], left.column("block")[0].as_py()] for k in chosen], np.int64)
+                meta = np.array([[ids[of[k]], pos[k] + off[k], n[k], block] for k in chosen], np.int64)
                 lefts = [raw[pos[k] : pos[k] + off[k]] for k in chosen]
-                for name, value in (("range", int(part[a])), ("shared", shared), ("lengths", lengths), ("tails", tails), ("left_lengths", bytes(map(len, lefts))), ("lefts", b"".join(lefts)), ("meta", meta.tobytes())):
+                for name, value in (("range", int(part[a])), ("shared", shared), ("lengths", lengths), ("tails", tails), ("left_lengths", bytes(map(len, lefts))), ("lefts", b"".join(lefts)), ("meta", meta.tobytes()), ("known", b"")):
                     out[name].append(value)
+            if len(known):
+                known = np.sort(known)
+                first = np.flatnonzero(np.diff(known, prepend=-2) != 1)
+                marked = np.stack((np.full(len(first), block), known[first], np.diff(np.append(first, len(known)))), axis=1).astype(np.int64)
+                for name in out:
+                    out[name].append(block % ranges if name == "range" else marked.tobytes() if name == "known" else b"")
         return pa.Table.from_arrays([pa.array(v, pa.int64() if c == "range" else pa.binary()) for c, v in out.items()], names=list(out))
 
     return blocks.groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(run, _RUNS)
@@ -302,6 +345,10 @@ def merge_ranges(runs: DataFrame, length: int, k: int) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
+        known = np.concatenate([np.frombuffer(r["known"], np.int64).reshape(-1, 3) for r in rows])
+        rows = [r for r in rows if r["shared"]]
+        if not rows:
+            return pa.Table.from_arrays([pa.array(known[:, c]) for c in range(3)], names=["block", "pos", "n"])
         order = list(merge([unfold(r["shared"], r["lengths"], r["tails"]) for r in rows]))
         starts = np.concatenate(([0], np.cumsum([len(r["shared"]) for r in rows])))
         nth = [0] * len(rows)
@@ -323,7 +370,8 @@ def merge_ranges(runs: DataFrame, length: int, k: int) -> DataFrame:
         item, low = np.nonzero(edge == 1)
         _, high = np.nonzero(edge == -1)
         pos = meta[item, 1] - (high - 1)
-        return pa.Table.from_arrays([pa.array(meta[item, 3]), pa.array(pos), pa.array(high - low)], names=["block", "pos", "n"])
+        found = np.concatenate((np.stack((meta[item, 3], pos, high - low), axis=1), known))
+        return pa.Table.from_arrays([pa.array(found[:, c]) for c in range(3)], names=["block", "pos", "n"])
 
     return runs.groupBy("range").applyInArrow(run, "block long, pos long, n long")
 
@@ -363,13 +411,17 @@ def cut(blocks: DataFrame, marks: DataFrame, id_kind: str, length: int, with_tex
     return blocks.groupBy("block").cogroup(marks.select("block", "pos", "n").groupBy("block")).applyInArrow(run, schema)
 
 
-def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, k: int = K, with_text: bool = True, range_rows: int = RANGE_ROWS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str, text_col: str, length: int = LENGTH, k: int = K, with_text: bool = True, range_rows: int = RANGE_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256, kept) per row of ``df``; ids are whole numbers."""
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"), F.lit(False).alias("held"))
     blocks = save(pack(docs).drop("held"), "suffix-blocks")
     marks = save(tell_apart(find_pieces(blocks, length, k)), "suffix-marks")
-    ranges = max(1, -(-marks.where("off >= 0").count() // range_rows))
-    repeats = merge_ranges(sorted_runs(blocks, marks, ranges, length), length, k)
+    shared = marks.where("off >= 0").groupBy("h").agg(F.count("*").alias("pieces"), F.sum("n").alias("windows"))
+    is_hot = F.col("pieces") > hot_rows
+    rows, spread = shared.agg(F.sum(F.when(is_hot, F.col("windows")).otherwise(F.col("pieces"))), F.count_if(is_hot)).first()
+    hot = save(shared.where(is_hot).select("h"), "suffix-hot") if spread else None
+    ranges = max(1, -(-(rows or 0) // range_rows))
+    repeats = merge_ranges(sorted_runs(blocks, marks, ranges, length, hot), length, k)
     covered = marks.where("off < 0").select("block", "pos", "n").union(repeats)
     return cut(blocks, covered, "long", length, with_text)
 

@@ -226,6 +226,20 @@ def test_repeats_match_brute_force(spark, docs, rows):
     assert suffix_dedup.remove_repeats(docs.limit(0), "doc_id", "text").count() == 0
 
 
+@pytest.mark.parametrize("hot_rows", [0, 5])
+def test_common_anchors_are_spread(spark, hot_rows):
+    rng = random.Random(11)
+    line = "".join(rng.choice("abcdefghijklmnop ") for _ in range(90))
+    texts = [prose(rng, 6) + line + prose(rng, 12) for _ in range(60)]
+    texts += [texts[k][: 150 + k] + prose(rng, 3) for k in range(0, 40, 3)] + [line * 5, line * 3, "é" + line * 2, texts[7], texts[7], "z" * 400]
+    whole = [(i, t, None, None, None) for i, t in enumerate(texts)][::-1]
+    frame = spark.createDataFrame(whole, DOCS).repartition(4)
+    got = suffix_dedup.remove_repeats(frame, "doc_id", "text", range_rows=40, hot_rows=hot_rows)
+    found = {r["id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in got.collect()}
+    assert found == brute_repeats(whole[::-1], 100)
+    assert sum(v[1] for v in found.values()) > 1000
+
+
 def test_loser_tree_merges_and_knows_prefixes():
     rng = random.Random(2)
     runs = [sorted(bytes(rng.choice(b"ab") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(9))) for _ in range(5)]
