@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from strandmill.llm import tokens
 from strandmill.llm.components import components
-from strandmill.llm.scratch import save
+from strandmill.llm.scratch import drop_saved, save
 
 BANDS, ROWS, SAMPLES, SKETCH_BITS = 56, 5, 560, 1024
 #: A pair goes on if its sketches estimate at least the threshold less this; of pairs at a similarity of 0.75 it stops 1.7e-8.
@@ -252,8 +252,8 @@ def _units(mixed: DataFrame, blocks: DataFrame) -> DataFrame:
     return pairs.select(F.xxhash64("block_a", "block_b").alias("unit"), F.explode(F.array_distinct(F.array("block_a", "block_b"))).alias("block"))
 
 
-def _search(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, threshold: float) -> DataFrame:
-    """(node, comp) of the classes that are linked with others."""
+def _search(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, threshold: float) -> tuple[DataFrame, list[DataFrame]]:
+    """(node, comp) of the classes that are linked with others, and the saved tables that this reads."""
     spark = docs.sparkSession
     buckets = classes.select("node", F.explode("bands").alias("key"))
     leads = [F.min(F.col("node").bitwiseXOR(F.lit(s))).bitwiseXOR(F.lit(s)) for s in LEADERS]
@@ -274,19 +274,23 @@ def _search(docs: DataFrame, id_col: str, text_col: str, classes: DataFrame, thr
     found = _compare(rows.repartition(parts, "unit").sortWithinPartitions("unit", "block"), threshold)
     more = save(_label(_label(found, "a", "ca", labels), "b", "cb", labels).select(F.col("ca").alias("a"), F.col("cb").alias("b")), "neardup-more")
     joined = components(more, "neardup-joined")
-    return _label(_label(wanted.select("node"), "node", "first", labels), "first", "comp", joined).select("node", "comp")
+    drop_saved(members, sets, star, mixed, blocks, units, more)
+    return _label(_label(wanted.select("node"), "node", "first", labels), "first", "comp", joined).select("node", "comp"), [wanted, labels, joined]
 
 
 def _decide(docs: DataFrame, id_col: str, text_col: str, threshold: float) -> tuple[DataFrame, DataFrame]:
     """(rows with id, n_shingles and node; node, component and its smallest id) of ``docs``."""
-    rows = save(sketch(docs, id_col, text_col), "neardup-rows")
-    full = rows.where("node IS NOT NULL")
+    sketched = save(sketch(docs, id_col, text_col), "neardup-sketches")
+    full = sketched.where("node IS NOT NULL")
     firsts = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("bands", "bands"), ("odd", "odd"))]
     classes = save(full.groupBy("node").agg(F.min("id").alias("rep"), *firsts), "neardup-classes")
-    labels = _search(docs, id_col, text_col, classes, threshold)
+    labels, inner = _search(docs, id_col, text_col, classes, threshold)
     named = save(_label(classes.select("node", "rep"), "node", "comp", labels), "neardup-named")
+    drop_saved(classes, *inner)
+    rows = save(sketched.select("id", "n_shingles", "node"), "neardup-rows")
+    drop_saved(sketched)
     best = named.groupBy("comp").agg(F.min("rep").alias("component"))
-    return rows.select("id", "n_shingles", "node"), named.join(best, "comp")
+    return rows, named.join(best, "comp")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.75) -> DataFrame:

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Observation, Window
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandmill.llm import tokens
@@ -208,14 +208,14 @@ def score_corpus(df: DataFrame, id_col: str, text_col: str, held_out: Column, or
     docs = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("t"), F.coalesce(held_out, F.lit(False)).alias("held"))
     blocks = save(pack(docs), "ppm-blocks")
     asked = save(requests(blocks, order), "ppm-requests")
-    # A code has one row per block that asks, so a group is as long as there are blocks.
-    same = Window.partitionBy("code")
+    # A common token has a row per block: its total is folded first and joined back, so no task holds all its rows.
     words = asked.where(F.col("kind") == TOKEN).select("code", "block", "train")
-    words = words.withColumns({"c": F.sum("train").over(same), "blocks": F.count("*").over(same), "nth": F.row_number().over(same.orderBy("block"))})
     totals = Observation()
-    words = words.observe(totals, F.sum("train").alias("n"), F.count(F.when((F.col("nth") == 1) & (F.col("c") > 0), 1)).alias("v"))
+    sums = words.groupBy("code").agg(F.sum("train").alias("c"), F.count("*").alias("blocks"))
+    sums = sums.observe(totals, F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v"))
     # A token that one training text holds once is not answered: no answer means a count of one.
-    words = save(words.where("NOT (blocks = 1 AND c = 1)").select("code", "block", F.col("c").cast("double").alias("value")), "ppm-tokens")
+    sums = save(sums.where("NOT (blocks = 1 AND c = 1)").select("code", F.col("c").cast("double").alias("value")), "ppm-sums")
+    words = save(words.select("code", "block").join(sums, "code").select("code", "block", "value"), "ppm-tokens")
     n, v = (totals.get[x] or 0 for x in ("n", "v"))
     wanted = asked.where(F.col("kind") == GRAM).select("code", "block", "train")
     grams = save(wanted.groupBy("code").agg(F.sum("train").alias("c")), "ppm-grams")

@@ -1,11 +1,13 @@
 """Words and word shingles of many texts at once, as numpy arrays.
 
-Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z in lower case.  Hashes are 64 bits: a
-polynomial over the bytes, finished by a mixer, so equal words hash alike wherever they stand.
+Words are runs of bytes other than 0x20 and 0x09-0x0D, with A-Z in lower case.  Hashes are 64 bits: the words'
+eight-byte lanes are chained through a mixer that is not linear (a polynomial modulo 2^64 has known
+collisions), and words longer than ``LONG`` bytes are hashed by keyed BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,6 +23,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _powers: list[np.ndarray] = []
+_SEED, _LANE = U(0x6A09E667F3BCC909), U(0xD6E8FEB86659FD93)
+_KEY = b"strandmill word"
+#: Bytes above which a word is hashed by itself.
+LONG = 64
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -79,10 +85,23 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[_LOWER[data] if lower else data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of the bytes from ``starts`` to ``ends``."""
+    data = _LOWER[data] if lower else data
+    padded = np.concatenate((data, np.zeros(8, np.uint8)))
+    lanes = np.lib.stride_tricks.sliding_window_view(padded, 8)
+    size = ends - starts
+    out = np.full(len(starts), _SEED, np.uint64)
+    at = np.flatnonzero(size <= LONG)
+    step = 0
+    while len(at):
+        lane = np.ascontiguousarray(lanes[starts[at] + step]).view("<u8").ravel()
+        left = np.minimum(size[at] - step, 8).astype(np.uint64)
+        out[at] = mix((out[at] ^ (lane & (U(2**64 - 1) >> (U(64) - left * U(8))))) * _LANE + U(step))
+        step += 8
+        at = at[size[at] > step]
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=_KEY).digest(), "little")
+    return mix(out ^ (size.astype(np.uint64) * U(_BASE)))
 
 
 def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +121,7 @@ def shingles(texts: pa.Array, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
     padded = np.append(hashes, np.zeros(width, np.uint64))
     out = np.zeros(len(first), np.uint64)
     for k in range(width):
-        step = out * U(_BASE) + padded[first + k]
+        step = mix(out ^ padded[first + k]) + U((k + 1) * _BASE % 2**64)
         out = step if (length > k).all() else np.where(length > k, step, out)
     return mix(out + length.astype(np.uint64)), out_offsets
 
