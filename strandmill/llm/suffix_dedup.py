@@ -5,9 +5,9 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts earlier in the c
 1. Anchors.  In every window of LENGTH bytes the smallest hash of its K-byte strings marks an anchor; equal windows
    have equal anchors, so only suffixes at anchors need sorting, about one in thirty.  Windows of one
    anchor form a piece of text.
-2. As in prefix-doubling string sorting, only suffixes that are not yet told apart are exchanged: pieces are spread by
-   the hash of their K bytes and sorted; pieces whose K bytes are unique drop out, a piece equal to an
-   earlier one is covered as a whole, and the distinct pieces that share their K bytes go on.
+2. As in prefix-doubling string sorting, only suffixes that are not yet told apart are exchanged: a block keeps the first of
+   its equal pieces (compared by their bytes), pieces are spread by the hash of their K bytes, those whose hash is unique drop
+   out and all others go on.  Hashes decide nothing else.
 3. Their suffixes are sorted block by block and exchanged as front-coded runs, cut into ranges of hash-prefixed keys.  A
    loser tree merges the runs of a range: every run keeps the common prefix with the last winner, so known
    prefixes are never compared again, and the merged order comes with its common prefix lengths.
@@ -16,10 +16,10 @@ A byte goes if a string of ``LENGTH`` bytes over it also starts earlier in the c
 
 An anchor that more than ``HOT_ROWS`` distinct pieces share (a common line before many different continuations) would
 fill one range.  Its pieces are taken apart into windows, each with its own hash as key: a block sends the first of
-its equal windows only, compared by their bytes, and the windows of one anchor spread over all ranges.  A window then has
-one row per block at most.
+its equal windows only, compared by their bytes, and the windows of one anchor spread over all ranges.  A piece or window has
+one row per block at most, so a range holds as many rows of it as there are blocks that hold it.
 
-Texts travel as compressed blocks.  A piece is known by 104 bits of hashes; what is merged is compared byte by byte.
+Texts travel as compressed blocks.  Every byte that goes was compared with an earlier one.
 
 Nulls: a null text is empty, a null id sorts first.  Rows with equal ids are ordered by their place in the input
 blocks.  Texts under LENGTH bytes lose nothing.  Empty tables give an empty result.
@@ -97,8 +97,8 @@ _MARKS = "block long, pos long, n long, off long, h long"
 
 
 def find_pieces(blocks: DataFrame, length: int, k: int) -> DataFrame:
-    """(h, u, id, loc): one row per distinct piece of a block, its first; later ones of the block have u = -1 - windows and a
-    spread h.  u holds 40 bits of the piece's hash, its windows and its offset of the anchor."""
+    """(h, u, id, loc): one row per distinct piece of a block, its first; later ones of the block, equal to it byte by byte, have
+    u = -1 - windows and a spread h.  u holds bits of the piece's hash, its windows and its offset of the anchor."""
 
     def run(batches):
         for batch in batches:
@@ -120,6 +120,12 @@ def find_pieces(blocks: DataFrame, length: int, k: int) -> DataFrame:
                 again = np.zeros(len(h), bool)
                 again[1:] = (h[1:] == h[:-1]) & (u[1:] == u[:-1])
                 windows = u >> 8 & 255
+                raw = data.tobytes()
+                begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(h)))) if len(h) else pos
+                same = np.flatnonzero(again)
+                for piece, p, q, size in zip(same.tolist(), pos[same].tolist(), pos[begin[same]].tolist(), (windows[same] + length - 1).tolist(), strict=True):
+                    if raw[p : p + size] != raw[q : q + size]:
+                        again[piece] = False
                 loc = pos | block << POS_BITS
                 h[again] = tokens.mix(loc[again].view(np.uint64)).view(np.int64)
                 u[again] = -1 - windows[again]
@@ -130,50 +136,29 @@ def find_pieces(blocks: DataFrame, length: int, k: int) -> DataFrame:
 
 
 def tell_apart(found: DataFrame) -> DataFrame:
-    """(block, pos, n, off, h): pieces that are covered (off = -1), and distinct pieces that share their anchor's bytes with others.
+    """(block, pos, n, off, h): pieces equal to an earlier one of their block (off = -1), and pieces that may share their anchor's bytes.
 
-    Rows come sorted by (h, u, id, loc); what is kept from one batch to the next is the last row and the first of its h.
+    Rows come sorted by h; what is kept from one batch to the next is the last row.
     """
 
     def run(batches):
-        last = None  # the previous row's (h, u), the first row of that h, and whether that first row has been passed on
+        last = None  # the previous row: h, loc, u, and whether it has been passed on
         for batch in batches:
-            if not len(batch):
-                continue
-            h, u, i, loc = (batch.column(c).to_numpy() for c in ("h", "u", "id", "loc"))
+            h, u, loc = (batch.column(c).to_numpy() for c in ("h", "u", "loc"))
             local = u < 0
-            lone = np.flatnonzero(local)
-            real = np.flatnonzero(~local)
-            hr, ur = h[real], u[real]
-            n = len(real)
-            same_h = np.zeros(n, bool)
-            same_h[1:] = hr[1:] == hr[:-1]
-            same = np.zeros(n, bool)
-            same[1:] = same_h[1:] & (ur[1:] == ur[:-1])
-            if n and last:
-                same_h[0] = hr[0] == last[0]
-                same[0] = same_h[0] and ur[0] == last[1]
-            group = np.cumsum(~same_h)  # group 0 goes on from the last batch
-            new_class = same_h & ~same
-            pass_on = new_class.copy()
-            classes = np.bincount(group, new_class, int(group[-1]) + 1 if n else 1)
-            firsts = np.flatnonzero(~same_h)
-            pass_on[firsts] = classes[group[firsts]] > 0
-            out = [(loc[lone], -1 - u[lone], np.full(len(lone), -1), h[lone]), (loc[real[same]], ur[same] >> 8 & 255, np.full(int(same.sum()), -1), hr[same]), (loc[real[pass_on]], ur[pass_on] >> 8 & 255, ur[pass_on] & 255, hr[pass_on])]
-            if last and n and classes[0] and not last[3]:
-                f = last[2]
-                out.append(tuple(np.array([x]) for x in (f[0], f[1] >> 8 & 255, f[1] & 255, last[0])))
-                last = (*last[:3], True)
-            if n:
-                if group[-1]:
-                    at = firsts[-1]
-                    last = (hr[-1], ur[-1], (loc[real[at]], ur[at]), bool(pass_on[at]))
-                else:
-                    last = (hr[-1], ur[-1], *last[2:])
+            out = [(loc[local], -1 - u[local], np.full(int(local.sum()), -1), h[local])]
+            h, u, loc = h[~local], u[~local], loc[~local]
+            if len(h):
+                same = np.concatenate(([last is not None and h[0] == last[0]], h[1:] == h[:-1]))
+                if same[0] and not last[3]:
+                    out.append(tuple(np.array([x]) for x in (last[1], last[2] >> 8 & 255, last[2] & 255, last[0])))
+                shared = same | np.append(same[1:], False)
+                out.append((loc[shared], u[shared] >> 8 & 255, u[shared] & 255, h[shared]))
+                last = (h[-1], loc[-1], u[-1], bool(shared[-1]))
             loc_, n_, off, h_ = (np.concatenate([o[c] for o in out]).astype(np.int64) for c in range(4))
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in (loc_ >> POS_BITS, loc_ & ((1 << POS_BITS) - 1), n_, off, h_)], names=["block", "pos", "n", "off", "h"])
 
-    return found.repartition("h").sortWithinPartitions("h", "u", "id", "loc").mapInArrow(run, _MARKS)
+    return found.repartition("h").sortWithinPartitions("h", "loc").mapInArrow(run, _MARKS)
 
 
 def common(a: bytes, b: bytes, known: int) -> int:
