@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,19 +46,29 @@ def shingles(tokens: Column) -> Column:
     return F.when(n > 0, runs).otherwise(F.array().cast("array<string>"))
 
 
-def _lane(digest: Column, k: int) -> Column:
-    return F.conv(F.substring(digest, 4 * k + 1, 4), 16, 10).cast("int")
+def simhash(prints: DataFrame) -> DataFrame:
+    """(id, l0 .. l3): sixteen bits each of the signed vote over shingle hashes; a tie sets the bit.
 
+    The lanes are the first 64 bits of each shingle's MD5; a text's votes are counted in its task, so no shingle is shuffled.
+    """
 
-def simhash(prints: DataFrame) -> DataFrame:
-    """(id, l0 .. l3): sixteen bits each of the signed vote over shingle hashes; a tie sets the bit."""
-    votes = prints.select("id", F.explode(shingles(F.col("tokens"))).alias("s")).withColumn("d", F.md5("s"))
-    votes = votes.select("id", *[_lane(F.col("d"), k).alias(f"v{k}") for k in range(LANES)])
-    # One sum per bit; the partial sums combine before the shuffle.
-    ones = [F.sum(F.shiftright(f"v{k}", b).bitwiseAND(F.lit(1))).alias(f"s{k}_{b}") for k in range(LANES) for b in range(LANE_BITS)]
-    sums = votes.groupBy("id").agg(F.count("*").alias("n"), *ones)
-    lanes = [sum((F.when(2 * F.col(f"s{k}_{b}") >= F.col("n"), 1 << b).otherwise(0) for b in range(LANE_BITS)), F.lit(0)).cast("int").alias(f"l{k}") for k in range(LANES)]
-    return sums.select("id", *lanes)
+    def run(batches):
+        for batch in batches:
+            ids, runs = batch.column(0), batch.column(1)
+            for at in range(0, len(batch), 256):
+                n, ones = [], []
+                for value in runs.slice(at, 256):
+                    digests = b"".join(hashlib.md5(s.encode(), usedforsecurity=False).digest()[:8] for s in value.as_py())
+                    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+                    n.append(len(bits))
+                    ones.append(bits.sum(0, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(n, pa.int64()), pa.array([o.tolist() for o in ones], pa.list_(pa.int64()))], names=["id", "n", "ones"])
+
+    kind = prints.schema["id"].dataType.simpleString()
+    votes = prints.select("id", shingles(F.col("tokens")).alias("runs")).mapInArrow(run, f"id {kind}, n long, ones array<long>")
+    # Bit b of lane k is place 16 k + 15 - b of the digest.
+    lanes = [sum((F.when(2 * F.get("ones", F.lit(LANE_BITS * k + LANE_BITS - 1 - b)) >= F.col("n"), 1 << b).otherwise(0) for b in range(LANE_BITS)), F.lit(0)).cast("int").alias(f"l{k}") for k in range(LANES)]
+    return votes.select("id", *lanes)
 
 
 def distinct_representatives(prints: DataFrame) -> DataFrame:
@@ -111,8 +125,8 @@ def near_misses(prints: DataFrame, radius: int, lane_rows: int = LANE_ROWS) -> D
 
     Pairs of representatives: ``between_members`` makes them the pairs of all texts.
     """
-    reps = distinct_representatives(prints)
-    hashes = kept(simhash(reps))  # met from both sides: hashed once
+    reps = kept(distinct_representatives(prints))  # hashed, and joined from both sides: read once
+    hashes = kept(simhash(reps))
     pairs = _meetings(hashes, lane_rows).withColumn("hamming", hamming("x", "y")).where(F.col("hamming") <= radius)
     pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), "hamming")
     sets = reps.select("id", F.array_distinct("tokens").alias("kinds"), "n_tokens")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandmill.operators import graph, ranges
+
 COLUMNS = ["id", "kind", "severity", "confidence", "target"]
 #: What a finding carries besides, where it is asked for.
 DETAILS = ["files", "symbols", "action", "evidence"]
@@ -54,23 +56,40 @@ def order() -> list[Column]:
     return [F.desc(rank(F.col("severity"))), F.desc("confidence"), F.asc("id")]
 
 
+def ranked(found: DataFrame) -> DataFrame:
+    """``found`` in canonical order with its ``position``, of neighbours with one id the first only.
+
+    Neighbours may differ in severity and confidence; equal ids with another finding between them both stay.  The order is cut
+    into ranges, the last row of each is carried to the next, and positions are totals of ranges and places in them.
+    """
+    rest = [c for c in found.columns if c not in ("id", "severity", "confidence")]
+    # The unnamed columns decide between rows that are equal in the order; equal rows are folded.
+    one = found.groupBy("severity", "confidence", "id").agg(F.min(F.struct(*rest)).alias("__rest")).withColumn("__rank", rank(F.col("severity")))
+    rows = ranges.spread(one, [F.desc("__rank"), F.desc("confidence"), F.asc("id"), F.asc("severity")])
+    rows = ranges.neighbour(rows, [], ["__rank", "confidence", "id", "severity"], F.col("id"), "__before", descending=["__rank", "confidence"])
+    kept_ = graph.kept(rows.where(~F.col("id").eqNullSafe(F.col("__before")) | F.col("id").isNull()).drop("__before"))
+    out = ranges.running_sum(kept_, [], [F.desc("__rank"), F.desc("confidence"), F.asc("id"), F.asc("severity")], F.lit(1), "position")
+    return out.select(*[F.col(f"__rest.{c}").alias(c) if c in rest else F.col(c) for c in found.columns], F.col("position").cast("long").alias("position"))
+
+
 def distinct(found: DataFrame) -> DataFrame:
-    """Findings without those that would stand beside an equal id in canonical order."""
-    key = ["severity", "confidence", "id"]
-    rest = [c for c in found.columns if c not in key]
-    one = found.groupBy(*key).agg(F.min(F.struct(*rest)).alias("rest"))
-    return one.select(*[F.col(c) if c in key else F.col(f"rest.{c}").alias(c) for c in found.columns])
+    """Findings without those that stand beside an equal id in canonical order."""
+    return ranked(found).drop("position")
 
 
 def top(found: DataFrame, limit: int) -> DataFrame:
-    """First ``limit`` findings in canonical order without equal neighbours, numbered, and whether more were cut.
-
-    Equal ones are folded before a top-k fetches one row more than asked for, so the window runs over few rows.
-    """
-    fetched = distinct(found).orderBy(*order()).limit(limit + 1)
-    numbered = fetched.withColumns({"position": F.row_number().over(Window.orderBy(*order())), "total": F.count("*").over(Window.partitionBy(F.lit(0)))})
-    kept = [c for c in [*COLUMNS, *DETAILS] if c in found.columns]
-    return numbered.where(F.col("position") <= limit).select(*kept, F.col("position").cast("long").alias("position"), (F.col("total") > limit).alias("truncated"))
+    """First ``limit`` findings in canonical order without equal neighbours, numbered, and whether more were cut."""
+    whole = graph.kept(ranked(found))
+    more = whole.agg((F.count("*") > limit).alias("truncated"))
+    kept_ = [c for c in [*COLUMNS, *DETAILS] if c in found.columns]
+    return shown(whole.where(F.col("position") <= limit).crossJoin(F.broadcast(more)).select(*kept_, "position", "truncated"))  # one row
+
+
+def shown(found: DataFrame, most: int = 12) -> DataFrame:
+    """``found`` as it is displayed: of a session conflict's files the first ``most``.  Filters see the whole lists."""
+    if "files" not in found.columns:
+        return found
+    return found.withColumn("files", F.when(F.col("kind") == "session_conflict", F.slice("files", 1, most)).otherwise(F.col("files")))
 
 
 def omitted(found: DataFrame, limit: int) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.operators import graph
+from strandmill.operators import graph, ranges, setjoin
 from strandmill.operators.graph import kept, pinned
 
 
@@ -24,18 +24,17 @@ def latest(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
 def conflicts(touched: DataFrame, least: float = 0.25) -> DataFrame:
     """Pairs of sessions (a < b) by overlap coefficient of their files; ``touched`` is (session, file, direct).
 
-    An equi-join on the file finds the pairs; common direct touches make an error.
+    Common direct touches make an error.  ``least`` is above 0.
     """
-    rows = touched.groupBy("session", "file").agg(F.max("direct").alias("direct"))
-    sizes = rows.groupBy("session").agg(F.count("*").alias("n"))
-    a = rows.select(F.col("session").alias("a"), "file", F.col("direct").alias("da"))
-    b = rows.select(F.col("session").alias("b"), "file", F.col("direct").alias("db"))
-    pairs = a.join(b, "file").where("a < b").groupBy("a", "b").agg(F.count("*").alias("overlap"), F.sum(F.when(F.col("da") & F.col("db"), 1).otherwise(0)).alias("direct"))
-    na, nb = sizes.select(F.col("session").alias("a"), F.col("n").alias("na")), sizes.select(F.col("session").alias("b"), F.col("n").alias("nb"))
-    both = pairs.join(na, "a").join(nb, "b").withColumn("coefficient", F.col("overlap") / F.greatest(F.lit(1), F.least("na", "nb")))
-    return both.where(F.col("coefficient") >= least).select(
+    rows = kept(touched.where("session IS NOT NULL AND file IS NOT NULL").groupBy("session", "file").agg(F.max("direct").alias("direct")))
+    pairs = setjoin.overlaps(rows, "session", "file", least)
+    own = rows.where("direct").groupBy("session").agg(F.collect_set("file").alias("files"))
+    of = lambda x: own.select(F.col("session").alias(x), F.col("files").alias(f"direct_{x}"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    direct = F.coalesce(F.arrays_overlap("direct_a", "direct_b"), F.lit(False))
+    return both.select(
         "a", "b", "overlap", F.round("coefficient", 6).alias("coefficient"),
-        F.when(F.col("direct") > 0, "error").otherwise("warn").alias("severity"), F.round(F.least("coefficient", F.lit(0.99)), 6).alias("confidence"),
+        F.when(direct, "error").otherwise("warn").alias("severity"), F.round(F.least("coefficient", F.lit(0.99)), 6).alias("confidence"),
     )
 
 
@@ -73,13 +72,24 @@ def first_named(pairs: DataFrame, present: DataFrame, session: str | None) -> Da
 
 
 def debounce(events: DataFrame, key: str, at: str, order: str, gap_ms: int) -> DataFrame:
-    """(key, batch, started, ended, n): runs of events with gaps of at most ``gap_ms``; ``at`` is in milliseconds."""
-    w = Window.partitionBy(key).orderBy(at, order)
-    new = F.when(F.col(at) - F.lag(at).over(w) <= gap_ms, 0).otherwise(1)
-    runs = events.withColumn("new", new).withColumn("batch", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    """(key, batch, started, ended, n): runs of events with gaps of at most ``gap_ms``; ``at`` is in milliseconds.
+
+    Gaps and batch numbers are carried from range to range of (key, at, order), so a frequent key fills many tasks.
+    """
+    rows = ranges.spread(events, [F.asc(c) for c in (key, at, order)])
+    rows = ranges.neighbour(rows, [key], [at, order], F.col(at), "__at")
+    rows = kept(rows.withColumn("__new", F.when(F.col(at) - F.col("__at") <= gap_ms, 0).otherwise(1)))
+    runs = ranges.running_sum(rows, [key], [F.asc(at), F.asc(order)], F.col("__new"), "batch")
     return runs.groupBy(key, "batch").agg(F.min(at).alias("started"), F.max(at).alias("ended"), F.count("*").alias("n"))
 
 
+def turns(events: DataFrame, key: str, at: str, order: str, out: str = "turn") -> DataFrame:
+    """``events`` with turn-1, turn-2 ... in order of (at, order) of each key, counted over ranges."""
+    rows = ranges.spread(events, [F.asc(c) for c in (key, at, order)])
+    counted = ranges.running_sum(rows, [key], [F.asc(at), F.asc(order)], F.lit(1), "__n")
+    return counted.withColumn(out, F.concat(F.lit("turn-"), F.col("__n").cast("string"))).drop("__n", ranges.RANGE)
+
+
 def _chain_ends(times: np.ndarray, quiet_ms: int) -> list[tuple[int, int]]:
     """(due, last) of one key's sorted distinct times: an emitter that is ready at most at ``due`` lets ``last`` through last.
 

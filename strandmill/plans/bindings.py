@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions import source_text
 from strandmill.functions.paths import glob_pattern
-from strandmill.operators import changes, clones, factstore, findings, graph, reports, sessions, store
+from strandmill.operators import changes, clones, factstore, findings, graph, neighbours, ranges, reports, sessions, setjoin, store
 from strandmill.streaming import changes as streams
 
 QUERIES: dict = {}
@@ -214,9 +214,9 @@ def first_match_resolve(spark, d):
 
 def handoff(spark, d, least: int = 100) -> DataFrame:
     """Edges from the user of one purchase to that of the next; ``value`` of the first above ``least``."""
-    bought = table(spark, d, "events").where("event_type = 'purchase'").select("ts", "event_id", "user_id", F.to_date("ts").alias("day"), "value")
+    bought = table(spark, d, "events").where("event_type = 'purchase'").select("ts", "event_id", "user_id", "value")
     pair = F.struct("user_id", "value")
-    hops = graph.consecutive(bought.withColumn("at", pair), ["ts", "event_id"], "day", "at")
+    hops = ranges.consecutive(bought.withColumn("at", pair), ["ts", "event_id"], "at")
     return hops.where((F.col("src.value") > least) & (F.col("src.user_id") != F.col("dst.user_id"))).select(F.col("src.user_id").alias("src"), F.col("dst.user_id").alias("dst")).distinct()
 
 
@@ -415,14 +415,51 @@ _CONFLICTS = f"""{_TOUCHED}, n AS (SELECT session, count(*) AS n FROM x GROUP BY
  cf AS (SELECT a, b, overlap, round(coefficient, 6) AS coefficient, CASE WHEN direct > 0 THEN 'error' ELSE 'warn' END AS severity, round(least(coefficient, 0.99), 6) AS confidence FROM z WHERE coefficient >= 0.25)"""
 
 
-@query(f"WITH {_CONFLICTS} SELECT * FROM cf")
+def ever_touched(spark, d) -> DataFrame:
+    """As ``touched``, over all events: what the set-similarity join is held against."""
+    return timed(spark, d).select(F.col("user_id").alias("session"), F.col("k").alias("file"), (F.col("event_type") == "purchase").alias("direct"))
+
+
+_ALL_CONFLICTS = _CONFLICTS.replace(f" FROM events, w WHERE {_MS} >= since GROUP BY ALL", " FROM events GROUP BY ALL")
+
+
+@query(f"WITH {_ALL_CONFLICTS} SELECT * FROM cf")
 def session_conflicts(spark, d):
-    return sessions.conflicts(touched(spark, d))
+    return sessions.conflicts(ever_touched(spark, d))
 
 
-@query(f"WITH {_CONFLICTS} SELECT a, b FROM cf WHERE severity = 'error'")
+@query(f"WITH {_ALL_CONFLICTS} SELECT a, b FROM cf WHERE severity = 'error'")
 def direct_touch(spark, d):
-    return sessions.conflicts(touched(spark, d)).where("severity = 'error'").select("a", "b")
+    return sessions.conflicts(ever_touched(spark, d)).where("severity = 'error'").select("a", "b")
+
+
+_RUNS5 = lambda t, i: f"SELECT {i} AS id, unnest(list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 3), lambda k: array_to_string(ws[k:k + 4], ' ')) END)) AS item FROM (SELECT {i}, regexp_extract_all(lower(coalesce(text, '')), '[^ \\t-\\r]+') AS ws FROM {t})"
+
+
+def word_runs(spark, d, name: str, key: str) -> DataFrame:
+    """(id, item): the distinct five-word runs of each text; a shorter text is one run."""
+    words = F.regexp_extract_all(F.lower(F.coalesce("text", F.lit(""))), F.lit("[^ \\t-\\r]+"), F.lit(0))
+    return table(spark, d, name).select(F.col(key).alias("id"), words.alias("ws")).select("id", F.explode(F.array_distinct(clones.shingles(F.col("ws")))).alias("item"))
+
+
+@query(f"""WITH q AS ({_RUNS5("benchmark", "item_id")}), c AS ({_RUNS5("documents", "doc_id")}), n AS (SELECT id, count(*)::BIGINT AS n FROM q GROUP BY id)
+ SELECT q.id AS item_id, c.id AS doc_id, count(*)::BIGINT AS overlap, n.n, round(count(*) / n.n, 6) AS coefficient FROM q JOIN c ON q.item = c.item JOIN n ON n.id = q.id GROUP BY q.id, c.id, n.n HAVING 100 * count(*) >= 75 * n.n""")
+def contamination_overlap(spark, d):
+    """Benchmark items of which a document holds three quarters of the five-word runs."""
+    runs = lambda name, key: word_runs(spark, d, name, key).withColumnRenamed("id", key)
+    return setjoin.contained(runs("benchmark", "item_id"), runs("documents", "doc_id"), "item_id", "doc_id", "item", 0.75)
+
+
+#: The given vectors are independent, with cosines of 0.55 at most: the default of 0.88 would find none.
+COSINE = 0.3
+
+
+@query(f"""WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
+ s AS (SELECT a.vec_id AS id, b.vec_id AS neighbour, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id <> b.vec_id AND a.vec_id % 100 = 0)
+ SELECT id, neighbour, round(c, 6) AS cosine, row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour)::INTEGER AS rank FROM s WHERE c >= {COSINE} QUALIFY row_number() OVER (PARTITION BY id ORDER BY c DESC, neighbour) <= 16""")
+def embedding_neighbours(spark, d):
+    """Queries are the rows whose id is divisible by 100, against all rows."""
+    return neighbours.neighbours(table(spark, d, "embeddings"), "vec_id", "embedding", F.col("id") % 100 == 0, COSINE)
 
 
 @query(f"""WITH g AS (SELECT user_id, {_MS} AS t_ms, event_id, lag({_MS}) OVER (PARTITION BY user_id ORDER BY {_MS}, event_id) AS before FROM events),
@@ -439,10 +476,7 @@ def cooldown(spark, d):
 
 @query(f"SELECT event_id, user_id, 'turn-' || row_number() OVER (PARTITION BY user_id ORDER BY {_MS}, event_id) AS turn FROM events")
 def turn_counter(spark, d):
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy("user_id").orderBy("at", "event_id"))
-    return timed(spark, d).select("event_id", "user_id", F.concat(F.lit("turn-"), n.cast("string")).alias("turn"))
+    return sessions.turns(timed(spark, d).select("event_id", "user_id", "at"), "user_id", "at", "event_id").drop("at")
 
 
 @query("SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 10000")
@@ -503,7 +537,7 @@ def all_findings(spark, d) -> DataFrame:
         findings.finding(exact, "semantic_clone", F.col("hash"), F.col("first_id")),
         findings.finding(dead(spark, d), "dead_code", s("p_partkey"), F.col("p_name")),
         findings.finding(drift(spark, d), "api_drift", F.concat_ws(":", s("l_partkey"), s("l_suppkey"), "before", "after"), F.col("l_partkey")),
-        findings.finding(session_conflicts(spark, d), "session_conflict", F.concat_ws(":", s("a"), s("b")), F.col("a")),
+        findings.finding(sessions.conflicts(touched(spark, d)), "session_conflict", F.concat_ws(":", s("a"), s("b")), F.col("a")),
     ]
     out = parts[0]
     for p in parts[1:]:
@@ -511,12 +545,21 @@ def all_findings(spark, d) -> DataFrame:
     return out
 
 
-@query(f"WITH {_FINDINGS} SELECT * FROM fu")
+_ORDERED = f"og AS (SELECT severity, confidence, id, min(struct_pack(kind := kind, target := target)) AS rest FROM fu GROUP BY ALL), oa AS (SELECT *, lag(id) OVER (ORDER BY {_RANK} DESC, confidence DESC, id, severity) AS before FROM og), o AS (SELECT id, rest.kind AS kind, severity, confidence, rest.target AS target, row_number() OVER (ORDER BY {_RANK} DESC, confidence DESC, id, severity) AS position FROM oa WHERE before IS DISTINCT FROM id)"
+
+
+@query(f"WITH {_FINDINGS}, {_ORDERED} SELECT * FROM o")
 def findings_union_ranked(spark, d):
-    return all_findings(spark, d)
+    return findings.ranked(all_findings(spark, d))
+
+
+@query(f"""WITH {_FINDINGS.replace("fu AS (", "fu0 AS (")}, fu AS (SELECT kind || ':' || target AS id, kind, severity, confidence, target FROM fu0), {_ORDERED} SELECT * FROM o""")
+def findings_by_target_ranked(spark, d):
+    """Findings under an id that several of them share, with severities of their own: equal neighbours collapse."""
+    return findings.ranked(all_findings(spark, d).withColumn("id", F.concat_ws(":", "kind", "target")))
 
 
-@query(f"WITH {_FINDINGS}, o AS (SELECT *, row_number() OVER (ORDER BY {_RANK} DESC, confidence DESC, id) AS position FROM fu) SELECT id, kind, severity, confidence, target, position, (SELECT count(*) FROM o) > 50 AS truncated FROM o WHERE position <= 50")
+@query(f"WITH {_FINDINGS}, {_ORDERED} SELECT id, kind, severity, confidence, target, position, (SELECT count(*) FROM o) > 50 AS truncated FROM o WHERE position <= 50")
 def findings_truncated(spark, d):
     """The first 50 in canonical order: a report."""
     return findings.top(all_findings(spark, d), 50)
@@ -619,7 +662,7 @@ def findings_at_least(spark, d):
     return findings.at_least(all_findings(spark, d), "warn", 0.8)
 
 
-@query(f"WITH {_FINDINGS}, counted AS (SELECT count(*)::BIGINT AS total FROM (SELECT DISTINCT severity, confidence, id FROM fu)) SELECT total, least(total, 50) AS shown, total - least(total, 50) AS omitted, (total > 50)::BIGINT AS truncated_outputs FROM counted")
+@query(f"WITH {_FINDINGS}, {_ORDERED}, counted AS (SELECT count(*)::BIGINT AS total FROM o) SELECT total, least(total, 50) AS shown, total - least(total, 50) AS omitted, (total > 50)::BIGINT AS truncated_outputs FROM counted")
 def truncation_counters(spark, d):
     return findings.omitted(all_findings(spark, d), 50)
 
@@ -674,12 +717,14 @@ def result_json(spark, d):
     return reports.as_json(copies(spark, d).select("id", "severity", F.col("target").alias("first_id")))
 
 
-@query(f"WITH {_CONFLICTS}, live AS (SELECT DISTINCT session FROM x), s AS (SELECT min(session) AS s FROM live) SELECT CASE WHEN b = s THEN b ELSE a END AS a, CASE WHEN b = s THEN a ELSE b END AS b, severity FROM cf, s")
+@query(f"WITH {_ALL_CONFLICTS}, live AS (SELECT DISTINCT session FROM x), s AS (SELECT min(session) AS s FROM live) SELECT CASE WHEN b = s THEN b ELSE a END AS a, CASE WHEN b = s THEN a ELSE b END AS b, severity FROM cf, s")
 def session_filter(spark, d):
-    rows = touched(spark, d)
-    # The smallest session stands for the one asked for; asking needs its name.
-    first = rows.agg(F.min("session")).first()[0]
-    return sessions.first_named(sessions.conflicts(rows), rows.select("session").distinct(), first).select("a", "b", "severity")
+    """The smallest session stands for the one asked for; it is joined in, not asked of the driver."""
+    rows = ever_touched(spark, d)
+    first = rows.agg(F.min("session").alias("s"))
+    turned = F.col("b") == F.col("s")
+    found = sessions.conflicts(rows).crossJoin(F.broadcast(first))  # one row
+    return found.select(F.when(turned, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(turned, F.col("a")).otherwise(F.col("b")).alias("b"), "severity")
 
 
 #: 2024-01-08, in milliseconds.

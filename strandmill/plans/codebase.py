@@ -197,7 +197,7 @@ def session_findings(seen: DataFrame, now_ms: int, overlap: float = 0.25, sessio
     said = F.format_string("dependency-cone overlap %s between sessions %s and %s", F.format_number("coefficient", 2), "a", "b")
     proof = F.array(findings.proof("session_overlap", F.get("common", F.lit(0)), F.lit(None), said, F.col("coefficient")))
     key = F.concat_ws(":", F.least("a", "b"), F.greatest("a", "b"))
-    return findings.detailed(both, "session_conflict", key, F.col("a"), F.slice("common", 1, 12), F.array("a", "b"), F.lit(findings.ACTIONS["session_conflict"]), proof)
+    return findings.detailed(both, "session_conflict", key, F.col("a"), F.col("common"), F.array("a", "b"), F.lit(findings.ACTIONS["session_conflict"]), proof)
 
 
 def drift_findings(facts: Facts, baseline: DataFrame) -> DataFrame:
@@ -250,7 +250,13 @@ def all_findings(facts: Facts, options: Options = Options(), baseline: DataFrame
         none = findings.detailed(facts.files.limit(0).withColumns({"severity": F.lit(""), "confidence": F.lit(0.0)}), "", F.col("path"), F.col("path"), F.array("path"), F.array("path"), F.lit(""))
         return none
     out = reduce(DataFrame.unionByName, parts)
-    return out if paths is None else findings.touching(graph.kept(out), paths)
+    if paths is None:
+        return out
+    out = graph.kept(out)
+    # A drift shows its nearest callers; it touches a path that leads to it however far.
+    led = graph.reachable(paths.select(F.col("path").alias("node")), facts.edges)
+    drifts = findings.of_kinds(out, "api_drift").join(led.withColumnRenamed("node", "target"), "target", "left_semi").select(*out.columns)
+    return findings.touching(out.where("kind <> 'api_drift'"), paths).select(*out.columns).union(drifts)
 
 
 def check(facts: Facts, entrypoints: list[str], baseline: DataFrame | None = None, radius: int = 6, limit: int = 50, options: Options | None = None, conflicts: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
