@@ -34,11 +34,13 @@ from strandmill.llm import tokens
 #: How the pre-tokenizer of byte-level vocabularies cuts words (fixed values).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Bytes of text that a task encodes at once, and words of a text that are looked up at once.
-SLICE, WORDS = 4_000_000, 1_000_000
+SLICE, WORDS = 1_000_000, 400_000
 #: Characters of a text above which its words come in blocks.
-LONG = 4_000_000
+LONG = 1_000_000
 #: Distinct words that a task remembers; when there are more, it begins anew.
-KNOWN = 500_000
+KNOWN = 200_000
+#: Rows that are decoded at once.
+DECODED = 256
 #: Rounds over all open words before rank order takes over.
 ROUNDS = 48
 NONE = np.int32(2**31 - 1)
@@ -296,8 +298,8 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
 
     def run(batches):
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, len(batch), DECODED):
+                part = batch.slice(at, DECODED)
                 lists = part.column("__sm_ids")
                 empty = pa.array([[]], lists.type)[0]
                 lists = lists.fill_null(empty)
