@@ -36,7 +36,7 @@ class FactStore:
 
     def load(self, name: str) -> DataFrame | None:
         """The table, or None if nothing has been written yet."""
-        return self.spark.read.parquet(f"{self.root}/{name}").drop(PART) if self.has(name) else None
+        return self.spark.read.parquet(f"{self.root}/{name}").drop(PART, "__key") if self.has(name) else None
 
     def keyed(self, name: str, keys: DataFrame, key: str) -> DataFrame | None:
         """Rows with a key of ``keys``; only their parts are read.  No keys, no rows."""
@@ -66,13 +66,29 @@ class FactStore:
                 return
         new.repartition(PART).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(PART).parquet(f"{self.root}/{name}")
 
-    def upsert(self, name: str, rows: DataFrame, key: str, at: str) -> None:
-        """Of rows with one key the one with the largest ``at`` stays."""
-        old = self.keyed(name, rows, key)
+    def upsert(self, name: str, rows: DataFrame, key: str | list[str], at: str) -> None:
+        """Of rows with one key, of one column or several, the one with the largest ``at`` stays."""
+        keys = [key] if isinstance(key, str) else key
+        stored = keys[0] if len(keys) == 1 else "__key"
+        rows = rows if len(keys) == 1 else rows.withColumn(stored, F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}))
+        old = self.keyed(name, rows, stored)
         both = rows if old is None else old.select(*rows.columns).union(rows)
-        rest = [c for c in rows.columns if c != key]
-        last = both.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(at, *[c for c in rest if c != at])).alias("r"))
-        self.replace(name, last.select(key, *[F.col(f"r.{c}").alias(c) for c in rest]), key)
+        rest = [c for c in rows.columns if c != stored]
+        last = both.groupBy(stored).agg(F.max_by(F.struct(*rest), F.struct(at, *[c for c in rest if c != at])).alias("r"))
+        self.replace(name, last.select(stored, *[F.col(f"r.{c}").alias(c) for c in rest]), stored)
+
+    def applied(self, stream: str, batch: int) -> bool:
+        """Whether micro-batch ``batch`` of ``stream`` has been applied as a whole."""
+        done = self.load("applied")
+        return done is not None and done.where((F.col("stream") == stream) & (F.col("batch") >= batch)).limit(1).count() > 0
+
+    def apply_once(self, stream: str, batch: int, step) -> bool:
+        """Run ``step`` unless the batch has been applied, and note it when it has ended; a repeat after a failure runs it again."""
+        if self.applied(stream, batch):
+            return False
+        step()
+        self.upsert("applied", self.spark.createDataFrame([(stream, batch)], "stream string, batch long"), "stream", "batch")
+        return True
 
     def overwrite(self, name: str, rows: DataFrame, key: str) -> None:
         """The table holds ``rows`` and nothing else."""

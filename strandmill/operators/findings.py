@@ -52,6 +52,11 @@ def proof(kind: str, file: Column, symbol: Column, detail: Column, score: Column
     return F.struct(F.lit(kind).alias("kind"), file.alias("file"), symbol.alias("symbol"), detail.alias("detail"), score.cast("double").alias("score"))
 
 
+def pair_key(left: Column, right: Column) -> Column:
+    """One key for two lists of names, whichever comes first."""
+    return F.array_join(F.array_sort(F.concat(left, right)), "|")
+
+
 def order() -> list[Column]:
     return [F.desc(rank(F.col("severity"))), F.desc("confidence"), F.asc("id")]
 

@@ -469,7 +469,9 @@ def debounce_batches(spark, d):
     return sessions.debounce(timed(spark, d).select("user_id", "at", "event_id"), "user_id", "at", "event_id", 3_600_000)
 
 
-@query()
+@query(f"""WITH RECURSIVE v AS (SELECT event_id, user_id, {_MS} AS "at" FROM events), t AS (SELECT user_id, "at", min(event_id) AS event_id FROM v GROUP BY user_id, "at"),
+ r AS (SELECT user_id, min("at") AS "at" FROM t GROUP BY user_id UNION ALL SELECT t.user_id, min(t."at") FROM r JOIN t ON t.user_id = r.user_id AND t."at" >= r."at" + 7200000 GROUP BY t.user_id)
+ SELECT user_id, t."at", event_id FROM r JOIN t USING (user_id, "at")""")
 def cooldown(spark, d):
     return sessions.cooldown(timed(spark, d).select("user_id", "at", "event_id"), "user_id", "at", "event_id", 7_200_000)
 

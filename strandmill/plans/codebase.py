@@ -50,11 +50,23 @@ class Options:
     radius: int = 6
     overlap: float = 0.25
     layers: Layers = Layers()
+    max_findings: int = 200
 
 
-def _scanned(files: DataFrame, known: DataFrame, min_tokens: int, min_statements: int) -> Facts:
+def parts_for(layers: Layers) -> tuple[str, ...]:
+    """What has to be read from files for ``layers``; what none of them needs is not extracted."""
+    needed = {
+        "imports": layers.cycles or layers.dead_code or layers.api_drift or layers.session_conflicts,
+        "exports": layers.dead_code or layers.api_drift,
+        "blocks": layers.exact_clones or layers.near_clones,
+        "shapes": layers.type_shapes,
+    }
+    return tuple(part for part, need in needed.items() if need)
+
+
+def _scanned(files: DataFrame, known: DataFrame, min_tokens: int, min_statements: int, layers: Layers = Layers()) -> Facts:
     """Facts of ``files``; specifiers are resolved among the paths of ``known``."""
-    found = graph.kept(text.facts(files))  # the files are read once for all five tables
+    found = graph.kept(text.facts(files, parts_for(layers)))  # the files are read once for all five tables
     raw = found.select("path", F.explode("imports").alias("i")).select(F.col("path").alias("src"), "i.*")
     resolved = changes.first_match(raw.select("src", "specifier").distinct(), known.select("path"), candidates(F.col("src"), F.col("specifier")), ["src", "specifier"])
     imports = raw.join(resolved, ["src", "specifier"], "left").select("src", F.col("to_path").alias("dst"), "specifier", "is_dynamic", "is_type_only", "line")
@@ -70,9 +82,9 @@ def _scanned(files: DataFrame, known: DataFrame, min_tokens: int, min_statements
     return Facts(found.select("path", "source", "problem"), imports, exports, prints, shapes)
 
 
-def index(files: DataFrame, min_tokens: int = 24, min_statements: int = 3) -> Facts:
-    """Fact tables of ``files`` (path, source)."""
-    return _scanned(files, files, min_tokens, min_statements)
+def index(files: DataFrame, min_tokens: int = 24, min_statements: int = 3, layers: Layers = Layers()) -> Facts:
+    """Fact tables of ``files`` (path, source), as far as ``layers`` need them."""
+    return _scanned(files, files, min_tokens, min_statements, layers)
 
 
 def index_changes(facts: factstore.FactStore, scan: DataFrame, asked: DataFrame | None = None, min_tokens: int = 24, min_statements: int = 3) -> int:
@@ -228,7 +240,7 @@ def all_findings(facts: Facts, options: Options = Options(), baseline: DataFrame
     if layers.near_clones:
         near = clones.between_members(clones.near_misses(prints, options.radius), prints).withColumn("severity", F.lit("warn"))
         proof = F.array(findings.proof("simhash", file_of(F.col("a")), F.col("a"), F.format_string("hamming distance %d", "hamming"), F.col("confidence")))
-        parts.append(findings.detailed(near, "semantic_clone", F.concat_ws("|", "a", "b"), F.col("a"), F.array(file_of(F.col("a")), file_of(F.col("b"))), F.array("a", "b"), F.lit(findings.ACTIONS["near_clone"]), proof))
+        parts.append(findings.detailed(near, "semantic_clone", findings.pair_key(F.array("a"), F.array("b")), F.col("a"), F.array(file_of(F.col("a")), file_of(F.col("b"))), F.array("a", "b"), F.lit(findings.ACTIONS["near_clone"]), proof))
     if layers.type_shapes:
         same = graph.kept(shape_duplicates(shapes))
         key = F.concat_ws(":", "shape_hash", F.array_join("symbols", "|"))
@@ -259,17 +271,19 @@ def all_findings(facts: Facts, options: Options = Options(), baseline: DataFrame
     return findings.touching(out.where("kind <> 'api_drift'"), paths).select(*out.columns).union(drifts)
 
 
-def check(facts: Facts, entrypoints: list[str], baseline: DataFrame | None = None, radius: int = 6, limit: int = 50, options: Options | None = None, conflicts: DataFrame | None = None, paths: DataFrame | None = None) -> DataFrame:
-    """Findings of all layers in canonical order, the first ``limit``."""
+def check(facts: Facts, entrypoints: list[str], baseline: DataFrame | None = None, radius: int = 6, limit: int = 50, options: Options | None = None, conflicts: DataFrame | None = None, paths: DataFrame | None = None, evidence: bool = True) -> DataFrame:
+    """Findings of all layers in canonical order, the first ``limit``: 0 for all that the options allow, which is also the most."""
     options = options or Options(tuple(entrypoints), radius=radius)
-    return findings.top(all_findings(facts, options, baseline, conflicts, paths), limit)
+    found = findings.top(all_findings(facts, options, baseline, conflicts, paths), findings.findings_limit(limit, options.max_findings))
+    return found if evidence else findings.without_evidence(found)
 
 
-def impact_cone(facts: Facts, paths: list[str], depth: int = 2, limit: int = 50) -> DataFrame:
+def impact_cone(facts: Facts, paths: list[str], depth: int = 2, limit: int | None = None, options: Options = Options()) -> DataFrame:
     """(node, depth, omitted): files within ``depth`` import steps of ``paths``, the first ``limit`` by name, and how many more there are.
 
-    A path that is not indexed is an error.
+    ``limit`` is 50 if not given.  A path that is not indexed is an error.
     """
+    limit = findings.files_limit(limit, options.max_findings)
     seeds = facts.files.where(F.col("path").isin(paths)).select(F.col("path").alias("node"))
     known = {r[0] for r in seeds.collect()}  # at most the paths asked for
     if lost := sorted(set(paths) - known):
@@ -380,12 +394,21 @@ def drift_map(facts: Facts, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, reduce(DataFrame.union, parts).distinct()
 
 
-def health(facts: Facts, dropped: int = 0, failed: int = 0, queued: int = 0, capacity: int = 256) -> DataFrame:
-    """(name, status): six checks; fail where a queue is full, warn where something was lost or nothing is indexed."""
-    spark = facts.files.sparkSession
-    fixed = [("protocol_version", "ok"), ("schema_version", "ok"), ("queue_depth", "fail" if queued >= capacity else "warn" if queued * 2 >= capacity else "ok"), ("queue_drops", "warn" if dropped else "ok"), ("index_failures", "warn" if failed else "ok")]
+def health(facts: Facts, jobs: DataFrame | None = None, capacity: int = 256) -> DataFrame:
+    """(name, status): four checks; fail where the queue is full, warn where it is half full, work was lost or failed, or nothing is indexed.
+
+    ``jobs`` (status, n) counts index jobs: queued, done, failed and dropped ones; what is queued and neither done nor failed waits.
+    """
     indexed = facts.files.agg(F.when(F.count("*") > 0, "ok").otherwise("warn").alias("status")).select(F.lit("index_state").alias("name"), "status")
-    return spark.createDataFrame(fixed, "name string, status string").union(indexed)
+    if jobs is None:
+        return indexed
+    n = lambda *names: F.coalesce(F.sum(F.when(F.col("status").isin(*names), F.col("n"))), F.lit(0))
+    sums = jobs.agg((n("queued") - n("done", "failed")).alias("waiting"), n("dropped").alias("dropped"), n("failed").alias("failed"))
+    row = lambda name, status: F.struct(F.lit(name).alias("name"), status.alias("status"))
+    bad = lambda c: F.when(F.col(c) > 0, "warn").otherwise("ok")
+    depth = F.when(F.col("waiting") >= capacity, "fail").when(2 * F.col("waiting") >= capacity, "warn").otherwise("ok")
+    told = sums.select(F.explode(F.array(row("queue_depth", depth), row("queue_drops", bad("dropped")), row("index_failures", bad("failed")))).alias("r"))
+    return told.select("r.*").union(indexed)
 
 
 def healthy(checks: DataFrame) -> DataFrame:

@@ -221,3 +221,13 @@ def site_drift_nodes(spark, d):
  UNION SELECT 'file:' || src, 'file:' || dst, 'imports', is_dynamic FROM im WHERE dst IS NOT NULL AND 'file:' || src IN (SELECT id FROM nodes) AND 'file:' || dst IN (SELECT id FROM nodes)""")
 def site_drift_edges(spark, d):
     return _map(spark, d)[1]
+
+
+@query("""WITH j AS (SELECT count(*) FILTER (event_type = 'signup') - count(*) FILTER (event_type IN ('purchase', 'error')) AS waiting, count(*) FILTER (event_type = 'error') AS failed FROM events)
+ SELECT 'index_state' AS name, CASE WHEN (SELECT count(*) FROM pages) > 0 THEN 'ok' ELSE 'warn' END AS status UNION ALL SELECT 'queue_depth', CASE WHEN waiting >= 256 THEN 'fail' WHEN 2 * waiting >= 256 THEN 'warn' ELSE 'ok' END FROM j
+ UNION ALL SELECT 'queue_drops', 'ok' UNION ALL SELECT 'index_failures', CASE WHEN failed > 0 THEN 'warn' ELSE 'ok' END FROM j""")
+def site_health(spark, d):
+    """Events as index jobs: signups are queued, purchases done, errors failed."""
+    status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("other")
+    jobs = table(spark, d, "events").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
+    return codebase.health(facts(spark, d), jobs)

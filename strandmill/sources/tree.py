@@ -17,7 +17,7 @@ IGNORE = (
     "**/*.generated.ts", "**/*.generated.tsx", "**/*.gen.ts", "**/*.gen.tsx",
 )
 LOCKFILES = ("bun.lock", "bun.lockb", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.lock")
-BASELINE = "version int, generatedAtUnixMs long, findings array<struct<id:string,kind:string,severity:string,action:string>>"
+KINDS = ("semantic_clone", "type_shape_duplicate", "api_drift", "dead_code", "cycle", "session_conflict")
 
 
 def scan(spark: SparkSession, root: str, ignore=IGNORE) -> DataFrame:
@@ -35,12 +35,44 @@ def lockfiles(spark: SparkSession, root: str) -> DataFrame:
     return found.where(F.col("name").isin(*LOCKFILES)).withColumn("position", F.array_position(F.array(*map(F.lit, LOCKFILES)), F.col("name")))
 
 
+def read_baseline(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """(findings, problems (place, problem)) of a baseline document, checked field by field.
+
+    A document that is no object, of another version, without a time in numbers or without a list has one problem; of the list
+    every finding with a wrong field has one, its first.
+    """
+    doc = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
+    kind = lambda c: F.schema_of_variant(c)
+    get = lambda v, name, type_: F.try_variant_get(v, f"$.{name}", type_)
+    version, when = F.try_variant_get("v", "$.version", "variant"), F.try_variant_get("v", "$.generatedAtUnixMs", "variant")
+    numbers = r"^(BIGINT|DOUBLE|DECIMAL)"
+    whole = (
+        F.when(F.col("v").isNull() | ~kind(F.col("v")).startswith("OBJECT"), "must be an object")
+        .when(~F.coalesce(kind(version).rlike(numbers) & (F.try_variant_get("v", "$.version", "double") == 1), F.lit(False)), "unsupported version")
+        .when(~F.coalesce(kind(when).rlike(numbers), F.lit(False)), "generatedAtUnixMs must be a number")
+        .when(~F.coalesce(kind(F.try_variant_get("v", "$.findings", "variant")).startswith("ARRAY"), F.lit(False)), "findings must be an array")
+    )
+    checked = doc.withColumn("problem", whole)
+    each = checked.where("problem IS NULL").select(F.posexplode(F.try_variant_get("v", "$.findings", "array<variant>")).alias("n", "f"))
+    text = lambda name: F.coalesce(kind(F.try_variant_get("f", f"$.{name}", "variant")) == "STRING", F.lit(False))
+    problem = (
+        F.when(F.col("f").isNull() | ~kind(F.col("f")).startswith("OBJECT"), "must be an object")
+        .when(~text("id"), "id must be a string")
+        .when(~text("kind") | ~F.coalesce(get("f", "kind", "string").isin(*KINDS), F.lit(False)), "kind is invalid")
+        .when(~text("severity") | ~F.coalesce(get("f", "severity", "string").isin("info", "warn", "error"), F.lit(False)), "severity is invalid")
+        .when(~text("action"), "action must be a string")
+    )
+    rows = each.select("n", problem.alias("problem"), *[get("f", c, "string").alias(c) for c in ("id", "kind", "severity", "action")])
+    problems = checked.where("problem IS NOT NULL").select(F.lit("$").alias("place"), "problem").union(rows.where("problem IS NOT NULL").select(F.format_string("$.findings[%d]", "n"), "problem"))
+    return rows.where("problem IS NULL").select("id", "kind", "severity", "action"), problems
+
+
 def baseline(spark: SparkSession, path: str) -> DataFrame:
-    """Findings of a baseline document; another version than 1 is an error."""
-    doc = spark.read.schema(BASELINE).json(path, multiLine=True)
-    if doc.where("version IS NULL OR version <> 1").limit(1).count():
-        raise ValueError("the baseline's version must be 1")
-    return doc.select(F.explode("findings").alias("f")).select("f.*")
+    """Findings of a baseline document; one with a problem is an error that names the first."""
+    found, problems = read_baseline(spark, path)
+    if first := problems.orderBy("place").first():
+        raise ValueError(f"baseline {first.place}: {first.problem}")
+    return found
 
 
 def write_baseline(found: DataFrame, path: str, now_ms: int) -> None:

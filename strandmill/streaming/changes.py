@@ -22,18 +22,32 @@ def debounced(events: DataFrame, key: str, at: str, item: str, gap: str = "175 m
     return out.select(key, F.col("w.start").alias("started"), F.col("w.end").alias("ended"), "items", "n")
 
 
-def recent(events: DataFrame, at: str, id_cols: list[str], keep: str) -> DataFrame:
-    """Events without repeats inside ``keep``; state older than that is dropped."""
-    stamped = events.withColumn(at, F.col(at).cast("timestamp")).withWatermark(at, keep)
-    return stamped.dropDuplicatesWithinWatermark(id_cols) if events.isStreaming else stamped.dropDuplicates(id_cols)
-
-
 def upsert_stream(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True) -> StreamingQuery:
     """Hand every micro-batch to ``apply``, one after the other; a batch id repeats after a failure and must be applied idempotently."""
     writer = changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def index_stream(events: DataFrame, facts, read: Callable[[DataFrame], DataFrame], checkpoint: str, key: str = "session", at: str = "at", item: str = "path", gap: str = "175 milliseconds", late: str = "10 minutes", name: str = "index") -> StreamingQuery:
+    """Bring the stored facts up to date with a stream of changed paths (key, at, item).
+
+    Changes are debounced; of each micro-batch the paths named are read by ``read(paths)`` -> (path, source, digest), and those that
+    are no more lose their facts.  A batch that has been applied as a whole is not applied again; one that broke off is repeated
+    and ends in the same tables, since digests are written last.
+    """
+    from strandmill.plans import codebase
+
+    def apply(batch: DataFrame, number: int) -> None:
+        def step():
+            paths = batch.select(F.explode("items").alias("path")).distinct().persist()
+            codebase.index_changes(facts, read(paths), paths)
+            paths.unpersist()
+
+        facts.apply_once(name, number, step)
+
+    return upsert_stream(debounced(events, key, at, item, gap, late), apply, checkpoint)
+
+
 def watched(events: DataFrame) -> DataFrame:
     """(session, path) of editor and watcher events (type, file, change): edits, additions and changes of named files; deletions are left out."""
     kind = F.when(F.col("type") == "file.edited", "event").when((F.col("type") == "file.watcher.updated") & F.col("change").isin("add", "change"), "watcher")
