@@ -82,12 +82,12 @@ def curriculum(df: DataFrame, seed: int = 7, budget: float = 1.5, most: float =
     """``df`` (doc_id, source, __sm_size, ...) with __sm_source_size, __sm_target and __sm_at: the training positions
     of the copies that the mix takes (none, one or more).
 
-    Order in a source is that of md5(seed, doc_id), then doc_id.  Hash bins of about ``bin_rows`` rows carry the
-    running totals, so a source of any size is spread over all tasks.
+    Order in a source is that of md5(seed, doc_id, hash of the row), then doc_id.  Hash bins of about ``bin_rows`` rows carry the
+    running totals, so a source of any size, and one id of many different rows, is spread over all tasks.
     """
     n_bins = max(1, -(-df.count() // bin_rows))
-    draw = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), "UTF-8"))
-    tie = F.xxhash64(*[F.col(c) for c in ("doc_id", "source", *[c for c in extra if c in df.columns])])
+    tie = F.xxhash64(*[F.col(c) for c in ("doc_id", "source", "__sm_size", *[c for c in extra if c in df.columns])])
+    draw = F.md5(F.encode(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.lit(":"), tie.cast("string")), "UTF-8"))
     rows = df.withColumns({"__sm_draw": draw, "__sm_tie": tie, "__sm_src": F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))})
     # The bin is the draw's leading 52 bits scaled to the number of bins: bins follow the order of draws.
     lead = F.conv(F.substring("__sm_draw", 1, 13), 16, 10).cast("double")
@@ -124,14 +124,20 @@ def in_training_order(mixed: DataFrame, partitions: int) -> DataFrame:
 
 
 def op7(spark, sf_dir: str) -> DataFrame:
+    """What each document gives to the mix, counted in the range-sorted copies as they were written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    light = save(docs.select("doc_id", "source", words_in(F.col("text")).alias("__sm_size")), "mixing-sizes")  # texts are read and counted once
-    mixed = curriculum(light)
-    return mixed.select(
+    row = F.monotonically_increasing_id().alias("__sm_row")  # tells rows of one id apart
+    light = docs.select("doc_id", "source", words_in(F.col("text")).alias("__sm_size"), F.xxhash64("text").alias("__sm_text"), row)
+    light = save(light, "mixing-sizes")  # texts are read and counted once
+    mixed = save(curriculum(light, extra=("__sm_text",)), "mixing-placed")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    order = save(in_training_order(mixed, parts).select("__sm_row", "__sm_size", "__sm_position"), "mixing-order")
+    given = order.groupBy("__sm_row").agg(F.sum("__sm_size").alias("taken"), F.min("__sm_position").alias("first"))
+    return mixed.join(given, "__sm_row", "left").select(
         "doc_id",
         F.col("__sm_size").alias("size"),
         F.col("__sm_source_size").cast("long").alias("source_size"),
         F.round("__sm_target", 6).alias("target"),
-        (F.size("__sm_at") * F.col("__sm_size")).cast("long").alias("taken"),
-        F.round(F.get(F.col("__sm_at"), F.lit(0)), 9).alias("first_position"),
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
+        F.round("first", 9).alias("first_position"),
     )
