@@ -346,9 +346,24 @@ PREDICT = (
 )
 
 
+def _running(values: np.ndarray, width: int, left: bool) -> np.ndarray:
+    """Inverse of the predictor that takes the pixel to the left (or above) everywhere: sums along rows (or columns)."""
+    p = _planes(values.copy()).reshape(-1, width, 4)
+    p[0, 0, 3] += np.uint8(255)
+    if left:
+        p[:, 0] = np.cumsum(p[:, 0], axis=0, dtype=np.uint8)
+        p = np.cumsum(p, axis=1, dtype=np.uint8)
+    else:
+        p[0] = np.cumsum(p[0], axis=0, dtype=np.uint8)
+        p = np.cumsum(p, axis=0, dtype=np.uint8)
+    return np.ascontiguousarray(p).view(np.uint32).ravel()
+
+
 def predict(values: np.ndarray, width: int, bits: int, modes: np.ndarray, forward: bool) -> np.ndarray:
-    """Inverse (or forward) predictor transform, pixel by pixel in raster order."""
+    """Inverse (or forward) predictor transform, pixel by pixel in raster order, or by running sums where one plain mode serves all."""
     across, kinds = -(-width >> bits), (modes >> 8 & 15).tolist()
+    if not forward and set(kinds) in ({1}, {2}):
+        return _running(values, width, kinds[0] == 1)
     given, pixels = values.tolist(), values.tolist()
     for n, v in enumerate(given):
         y, x = divmod(n, width)
@@ -633,41 +648,147 @@ def _text_weight(symbol: int) -> float:
     return 0.5
 
 
-@functools.lru_cache(maxsize=4)
-def _grey_plan(alpha: int):
-    """(header after the sides, its bits, codes, lengths) of grey images with the text code."""
-    lengths, w = huffman_lengths([_text_weight(s) for s in range(280)]), Writer()
-    w.put(1, 1)
-    w.put(SUBTRACT_GREEN, 2)
+#: Samples from which codes are fitted to an image and repeats are looked for.
+FIT, MATCH = 16_384, 4096
+#: Bytes of a window that is looked up, and of a copy at least.
+SEEN, COPY = 8, 24
+_TEXT = huffman_lengths([_text_weight(s) for s in range(280)])
+
+
+@functools.lru_cache(maxsize=256)
+def _grey_codes(lengths: tuple[int, ...], alpha: int, far: int):
+    """(bits after the transforms up to the pixels, their number, codes, lengths): no cache, one group, one distance symbol."""
+    w = Writer()
     for v, n in ((0, 1), (0, 1), (0, 1)):  # no more transforms, no cache, one group
         w.put(v, n)
     w.code(lengths, -1)
-    for single in (0, 0, alpha, 1):  # red, blue, alpha; distance symbol 1 is the pixel to the left
+    for single in (0, 0, alpha, far):  # red, blue, alpha, distance
         w.code((), single)
     return w.value, w.n, canonical(lengths), np.array(lengths, np.int64)
 
 
+def _entropy(counts: np.ndarray) -> float:
+    p = counts[counts > 0] / counts.sum()
+    return float(-(p * np.log2(p)).sum())
+
+
+def _predicted(samples: np.ndarray, width: int, counts: np.ndarray) -> tuple[int, np.ndarray]:
+    """(mode, what it leaves): the pixel to the left (1) or above (2) as a guess where that has a tenth of a bit less entropy, else 0."""
+    p = samples.reshape(-1, width)
+    left, above = p.copy(), p.copy()
+    left[:, 1:] -= p[:, :-1]
+    left[1:, 0] -= p[:-1, 0]
+    above[1:] -= p[:-1]
+    above[0, 1:] -= p[0, :-1]
+    found = min((_entropy(np.bincount(x.ravel(), minlength=256)) + 0.1, mode) for mode, x in ((1, left), (2, above)))
+    return (0, samples) if found[0] >= _entropy(counts) else (found[1], (left if found[1] == 1 else above).ravel())
+
+
+def _repeats(samples: np.ndarray) -> tuple[int, list[tuple[int, int, int]]]:
+    """(distance symbol, copies (start, length, distance)): of all repeats those with the symbol that saves most."""
+    words = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(samples, SEEN)).view(np.uint64).ravel()
+    order = np.argsort(words, kind="stable")
+    same = words[order[1:]] == words[order[:-1]]
+    back = np.zeros(len(words), np.int64)
+    back[order[1:][same]] = order[1:][same] - order[:-1][same]
+    starts = np.flatnonzero(np.diff(back, prepend=-1))
+    lengths, far = np.diff(np.append(starts, len(back))) + SEEN - 1, back[starts]
+    good = (far > 0) & (lengths >= COPY)
+    starts, lengths, far = starts[good], lengths[good], far[good]
+    if not len(starts):
+        return 1, []
+    v = far + 119  # the distance code less one
+    extra = np.floor(np.log2(v)).astype(np.int64) - 1
+    symbol = 2 * (extra + 1) + (v >> extra & 1)
+    best = int(np.bincount(symbol, 4 * lengths - 40).argmax())
+    copies, end = [], 0
+    for at, n, d in zip(*(x[symbol == best].tolist() for x in (starts, lengths, far)), strict=True):
+        n, at = n - max(0, end - at), max(at, end)
+        if n >= COPY:
+            copies.append((at, n, d))
+            end = at + n
+    return best, copies
+
+
+def _runs(samples: np.ndarray) -> list[tuple[int, int, int]]:
+    """Copies from the left, without their first pixels."""
+    same = np.flatnonzero(np.diff(np.concatenate(([-1], samples.astype(np.int16), [-1]))))
+    runs = np.diff(same)
+    long = np.flatnonzero(runs >= 8)
+    return [(at + 1, run - 1, 1) for at, run in zip(same[long].tolist(), runs[long].tolist(), strict=True)]
+
+
+def _packed(w: Writer, samples: np.ndarray, width: int, colours: np.ndarray) -> tuple[np.ndarray, int]:
+    """Writes the palette of a few greys; (samples of several pixels each, their width)."""
+    w.put(1, 1)
+    w.put(PALETTE, 2)
+    w.put(len(colours) - 1, 8)
+    table = np.uint32(0xFF000000) | colours.astype(np.uint32) * np.uint32(0x010101)
+    steps = np.diff(_planes(table), axis=0, prepend=np.zeros((1, 4), np.uint8))
+    write_image(w, np.ascontiguousarray(steps.astype(np.uint8)).view(np.uint32).ravel(), len(colours), False)
+    bits = _bundle(len(colours))
+    across, each = -(-width >> bits), 8 >> bits
+    index = np.zeros((len(samples) // width, across << bits), np.uint8)
+    index[:, :width] = np.searchsorted(colours, samples).reshape(-1, width)
+    index = index.reshape(-1, across, 1 << bits) << (np.arange(1 << bits, dtype=np.uint8) * np.uint8(each))
+    return index.sum(axis=2, dtype=np.uint8).ravel(), across
+
+
 def encode_grey(samples: np.ndarray, width: int) -> bytes:
-    """A WebP file of 8-bit grey samples: subtract-green, one fixed code for text, runs as copies from the left."""
-    head, head_bits, codes, lengths = _grey_plan(255)
-    w = Writer()
-    _start(w, width, len(samples) // width)
+    """A WebP file of 8-bit grey samples, written by what suits them.
+
+    Few values: a palette with several pixels to a sample.  Else subtract-green, and a predictor where it helps.  Copies are runs from
+    the left or, in larger images, repeats at any distance of one prefix symbol, whichever saves more.  Codes are fitted
+    to larger or transformed images; prose of a few rows takes one fixed code, which costs no tables.
+    """
+    height, w = len(samples) // width, Writer()
+    _start(w, width, height)
+    counts = np.bincount(samples, minlength=256)
+    colours, alpha, fitted = np.flatnonzero(counts), 255, len(samples) >= FIT
+    if len(colours) <= 16:
+        samples, _ = _packed(w, samples, width, colours)
+        fitted = True
+    else:
+        w.put(1, 1)
+        w.put(SUBTRACT_GREEN, 2)
+        mode, samples = _predicted(samples, width, counts)
+        if mode:
+            block = 9
+            w.put(1, 1)
+            w.put(PREDICTOR, 2)
+            w.put(block - 2, 3)
+            across = -(-width >> block)
+            write_image(w, np.full(across * -(-height >> block), mode << 8 | 0xFF000000, np.uint32), across, False)
+            alpha, fitted = 0, True
+    far, copies = 1, _runs(samples)
+    if len(samples) >= MATCH:
+        symbol, more = _repeats(samples)
+        if sum(c[1] for c in more) > sum(c[1] for c in copies):
+            far, copies = symbol, more
+    keep, extra_value, extra_bits = np.ones(len(samples), bool), {}, {}
+    kinds = samples.astype(np.int64)
+    for start, n, d in copies:
+        keep[start : start + n] = False
+        for k in range(start, start + n, MAX_COPY):  # each in the place of its first pixel
+            s, extra, bits = prefix_of(min(MAX_COPY, start + n - k))
+            _, more, far_bits = (0, 0, 0) if far == 1 else prefix_of(d + 120)
+            keep[k], kinds[k] = True, 256 + s
+            extra_value[k], extra_bits[k] = extra | more << bits, bits + far_bits
+    places = np.flatnonzero(keep)
+    kinds = kinds[places]
+    lengths = _TEXT
+    if fitted:
+        weights = np.bincount(kinds, minlength=280)
+        weights[[k for k in (256, 257) if not weights[k]]] = 1  # two symbols at least
+        lengths = huffman_lengths(weights.tolist(), 12)
+    head, head_bits, codes, sizes = (_grey_codes if not fitted else _grey_codes.__wrapped__)(lengths, alpha, far)
     start, start_bits = w.value | head << w.n, w.n + head_bits
-    value, bits = codes[samples], lengths[samples]
-    same = np.flatnonzero(np.diff(np.concatenate(([-1], samples.astype(np.int16), [-1]))))
-    if len(same) - 1 < len(samples):
-        runs = np.diff(same)
-        long = np.flatnonzero(runs >= 8)
-        if len(long):
-            keep = np.ones(len(samples), bool)
-            for at, run in zip(same[long].tolist(), runs[long].tolist(), strict=True):
-                keep[at + 1 : at + run] = False
-                for k in range(at + 1, at + run, MAX_COPY):  # one copy each, in the place of its first pixel
-                    s, extra, n = prefix_of(min(MAX_COPY, at + run - k))
-                    value[k] = int(codes[256 + s]) | extra << int(lengths[256 + s])
-                    bits[k] = lengths[256 + s] + n
-                    keep[k] = True
-            value, bits = value[keep], bits[keep]
+    value, bits = codes[kinds], sizes[kinds]
+    if extra_bits:
+        at = np.searchsorted(places, np.fromiter(extra_bits, np.int64, len(extra_bits)))
+        value[at] |= np.fromiter(extra_value.values(), np.uint64, len(at)) << bits[at].astype(np.uint64)
+        bits = bits.copy()
+        bits[at] += np.fromiter(extra_bits.values(), np.int64, len(at))
     ends = np.cumsum(bits)
     begin = ends - bits + (start_bits & 63)
     word, shift = begin >> 6, (begin & 63).astype(np.uint64)

@@ -299,3 +299,34 @@ def test_op4_compares_bytes(spark, tmp_path):
             seen.add(t[p : p + 100])
         rest = "".join(c for c, g in zip(t, gone, strict=True) if not g)
         assert found[i] == (sum(gone), hashlib.sha256(rest.encode()).hexdigest())
+
+
+def test_media_are_written_by_what_suits_them():
+    from strandmill.llm import media, webp
+
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(300)).encode()
+    prose = "".join(rng.choice("etaoin shrdlu,.") for _ in range(20_000)).encode()
+    cases = {
+        "nothing": b"",
+        "two values": bytes(rng.choice(b"ab") for _ in range(900)),
+        "four values": bytes(rng.choice(b"abc") for _ in range(577)),
+        "sixteen values": bytes(rng.choice(b"abcdefghijklmno") for _ in range(1500)),
+        "one value": b"a" * 700_000,
+        "slope": bytes(k // 3 % 256 for k in range(60_000)),
+        "equal rows": bytes((7 * x + y) % 256 for y in range(150) for x in range(576)),
+        "repeats": line * 100,
+        "prose": prose,
+        "prose with repeats": line.join(prose[k : k + 900] for k in range(0, 20_000, 900)),
+        "noise": bytes(rng.randrange(256) for _ in range(30_000)),
+        "long": prose * 500,
+    }
+    sizes = {}
+    for name, text in cases.items():
+        payload = media.padded(text)
+        stored = media.encode_samples(payload)
+        assert media.decode_samples(stored)[2] == payload, name
+        assert media.encode_samples(payload) == stored
+        sizes[name] = len(stored) / len(payload)
+    assert sizes["one value"] < 0.001 and sizes["repeats"] < 0.02 and sizes["slope"] < 0.05 and sizes["equal rows"] < 0.05 and sizes["two values"] < 0.2
+    assert len(set(webp._repeats(np.frombuffer(line * 20, np.uint8))[1])) >= 1
