@@ -349,7 +349,7 @@ PREDICT = (
 def _running(values: np.ndarray, width: int, left: bool) -> np.ndarray:
     """Inverse of the predictor that takes the pixel to the left (or above) everywhere: sums along rows (or columns)."""
     p = _planes(values.copy()).reshape(-1, width, 4)
-    p[0, 0, 3] += np.uint8(255)
+    p[0, 0, 3] = (int(p[0, 0, 3]) + 255) & 255
     if left:
         p[:, 0] = np.cumsum(p[:, 0], axis=0, dtype=np.uint8)
         p = np.cumsum(p, axis=1, dtype=np.uint8)
