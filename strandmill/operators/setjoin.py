@@ -9,13 +9,18 @@ and none comes twice.  An item of many sets is cut into blocks on both sides tha
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.operators.graph import kept
 
 #: Sets that hold an item and meet in one task; more are cut into blocks.
-ITEM_ROWS = 4096
+ITEM_ROWS = 2048
+#: Items that sets are multiplied by at a time.
+COLUMNS = 2048
 #: Frequent items that are broadcast; more are joined.
 BROADCAST_ROWS = 100_000
 
@@ -49,14 +54,69 @@ def overlaps(rows: DataFrame, owner: str, item: str, threshold: float, item_rows
     own = lambda parts: F.pmod(F.xxhash64("o"), F.col(parts)).cast("int")
     small = cut.where(prefix).select("item", own("narrow").alias("p"), facing("wide").alias("q"), *[F.col(c).alias(f"s_{c}") for c in ("o", "items", "n", "at")])
     large = cut.select("item", facing("narrow").alias("p"), own("wide").alias("q"), *[F.col(c).alias(f"l_{c}") for c in ("o", "items", "n", "at")])
-    k = _least(F.col("s_n"), threshold)
-    before = lambda x: F.slice(f"{x}_items", F.lit(1), F.col(f"{x}_at"))
-    ordered = (F.col("s_n") < F.col("l_n")) | ((F.col("s_n") == F.col("l_n")) & (F.col("s_o") < F.col("l_o")))
-    room = 1 + F.least(F.col("s_n") - F.col("s_at"), F.col("l_n") - F.col("l_at")) - 1 >= k
-    shared = F.size(F.array_intersect("s_items", "l_items"))
-    met = small.join(large, ["item", "p", "q"]).where(ordered & room & ~F.coalesce(F.arrays_overlap(before("s"), before("l")), F.lit(False)) & (shared >= k))
-    pair = {"a": F.least("s_o", "l_o"), "b": F.greatest("s_o", "l_o")}
-    return met.select(*[c.alias(x) for x, c in pair.items()], shared.cast("long").alias("overlap"), (shared / F.col("s_n")).alias("coefficient"))
+    side = lambda df, x, large: df.select("item", "p", "q", F.lit(large).alias("large"), *[F.col(f"{x}_{c}").alias(c) for c in ("o", "items", "n", "at")])
+    units = side(small, "s", False).union(side(large, "l", True)).repartition("item", "p", "q").sortWithinPartitions("item", "p", "q")
+    kind = sets.schema[owner].dataType.simpleString()
+    met = units.mapInArrow(_meet(threshold), f"x {kind}, y {kind}, overlap long, n int")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "overlap", (F.col("overlap") / F.col("n")).alias("coefficient"))
+
+
+def _shared(codes: list[np.ndarray], others: list[np.ndarray]) -> np.ndarray:
+    """Number of codes that each of ``codes`` shares with each of ``others``, by products of 0-1 matrices, some columns at a time."""
+    most = 1 + max((int(c.max()) for c in (*codes, *others) if len(c)), default=-1)
+    out = np.zeros((len(codes), len(others)), np.float32)
+    flat = [(np.repeat(np.arange(len(x)), [len(c) for c in x]), np.concatenate([*x, np.zeros(0, np.int64)]).astype(np.int64)) for x in (codes, others)]
+    for low in range(0, most, COLUMNS):
+        parts = []
+        for (row, code), n in zip(flat, (len(codes), len(others)), strict=True):
+            here = (code >= low) & (code < low + COLUMNS)
+            part = np.zeros((n, min(COLUMNS, most - low)), np.float32)
+            part[row[here], code[here] - low] = 1
+            parts.append(part)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def pairs_of_unit(table: pa.Table, threshold: float) -> pa.RecordBatch:
+    """(x, y, overlap, n) of the sets of one item that are similar enough and share no item before it; x is the smaller set of n items."""
+    items = table.column("items").combine_chunks()
+    offsets, codes = items.offsets.to_numpy(), items.values.dictionary_encode().indices.to_numpy()
+    at, n, large = table.column("at").to_numpy(), table.column("n").to_numpy(), table.column("large").to_numpy()
+    owner = table.column("o").combine_chunks()
+    rank = pc.rank(owner, tiebreaker="dense").to_numpy().astype(np.int64)
+    whole = [codes[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+    s, l = np.flatnonzero(~large), np.flatnonzero(large)  # noqa: E741
+    of = lambda rows, cut: [whole[r][: at[r]] if cut else whole[r] for r in rows.tolist()]
+    least = np.maximum(1, np.ceil(np.round(n[s] * threshold, 9)))
+    ordered = (n[s][:, None] < n[l]) | ((n[s][:, None] == n[l]) & (rank[s][:, None] < rank[l]))
+    shared = _shared(of(s, False), of(l, False))
+    first = _shared(of(s, True), of(l, True)) == 0
+    x, y = np.nonzero(ordered & first & (shared >= least[:, None]))
+    cols = [owner.take(pa.array(s[x])), owner.take(pa.array(l[y])), pa.array(shared[x, y].astype(np.int64)), pa.array(n[s][x].astype(np.int32))]
+    return pa.RecordBatch.from_arrays(cols, names=["x", "y", "overlap", "n"])
+
+
+def _meet(threshold: float):
+    def run(batches):
+        held: list[pa.RecordBatch] = []  # of the unit that has not ended
+
+        def key(batch, k):
+            return tuple(batch.column(c)[k].as_py() for c in ("item", "p", "q"))
+
+        for batch in batches:
+            item, p, q = (batch.column(c).dictionary_encode().indices.to_numpy() for c in ("item", "p", "q"))
+            new = np.flatnonzero((np.diff(item) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)) + 1
+            cuts = [0, *new.tolist(), len(batch)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if held and b > a and key(held[0], 0) != key(batch, a):
+                    yield pairs_of_unit(pa.Table.from_batches(held), threshold)
+                    held = []
+                if b > a:
+                    held.append(batch.slice(a, b - a))
+        if held:
+            yield pairs_of_unit(pa.Table.from_batches(held), threshold)
+
+    return run
 
 
 def contained(queries: DataFrame, corpus: DataFrame, query: str, document: str, item: str, threshold: float) -> DataFrame:
