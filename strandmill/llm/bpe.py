@@ -37,8 +37,8 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 SLICE, WORDS = 1_000_000, 400_000
 #: Characters of a text above which its words come in blocks.
 LONG = 1_000_000
-#: Distinct words that a task remembers; when there are more, it begins anew.
-KNOWN = 200_000
+#: Distinct words that a task remembers, the first ones that it meets; others are merged again in each block that has them.
+KNOWN = 120_000
 #: Rows that are decoded at once.
 DECODED = 256
 #: Rounds over all open words before rank order takes over.
@@ -182,9 +182,6 @@ class Encoder:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        self._forget()
-
-    def _forget(self) -> None:
         self.number: dict[str | int, int] = {}  # of the words known so far
         self.ids, self.starts, self.counts = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -207,13 +204,18 @@ class Encoder:
 
     def _block(self, words: list[str | int]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, tokens of each word) of a block of words."""
-        if len(self.number) > KNOWN:
-            self._forget()
-        self._learn([w for w in dict.fromkeys(words) if w not in self.number])
+        new = [w for w in dict.fromkeys(words) if w not in self.number]
+        self._learn(new)
         which = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
         counts, starts = self.counts[which], self.starts[which]
         ends = np.cumsum(counts)
-        return self.ids[np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)], counts
+        ids = self.ids[np.repeat(starts - ends + counts, counts) + np.arange(int(ends[-1]) if len(ends) else 0)]
+        if (over := len(self.number) - KNOWN) > 0:
+            for w in new[-over:]:
+                del self.number[w]
+            self.ids = self.ids[: self.starts[KNOWN]].copy()
+            self.starts, self.counts = self.starts[:KNOWN].copy(), self.counts[:KNOWN].copy()
+        return ids, counts
 
     def _learn(self, new: list[str | int]) -> None:
         for k, w in enumerate(new, len(self.number)):
