@@ -5,7 +5,8 @@ full rows); ``load`` decodes WebP files to pixel arrays; ``features`` summarises
 16,384 rows high, so a longer text becomes several files, one after the other in the same value.
 
 Nulls and empty texts become one padded row; null media decodes to null.  Equal texts give equal bytes.
-Repeated rows are encoded each for itself; an empty table gives an empty result; extra columns pass through.
+Repeated rows are encoded each for itself; an empty table gives an empty result; extra columns pass through, but for those that have the
+name of a result (``media``; ``width``, ``height``, ``pixels`` and ``feature``), which are replaced.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ sampled documents are identifiers.  Training reads about ``sample_docs`` documen
 has at most two counts per pair of characters, taken over distinct strings.  Everything else reads all documents.
 
 Nulls: a null text is empty and has no spans.  Repeated rows are scanned each for itself.  An empty
-table gives an empty result (and an untrained, uniform model).  Other columns are left alone.
+table gives an empty result (and an untrained, uniform model).  A column ``secrets`` is replaced, others are left alone.
 """
 
 from __future__ import annotations
@@ -129,8 +129,27 @@ def scan(df: DataFrame, text_col: str, model: list[float], threshold: float = TH
     text = F.coalesce(F.col(text_col), F.lit(""))
     random = lambda found: F.transform(found, lambda m: m.rlike("[A-Za-z]") & (ratio(m, model) > threshold))
     with_base = df.withColumn("__sm_base", base_spans(text)).withColumn("__sm_more", spans(text, CANDIDATE, "markov", 3, random, text.rlike(CANDIDATE)))
-    apart = F.filter("__sm_more", lambda m: ~F.exists("__sm_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    return with_base.withColumn("secrets", F.array_sort(F.concat("__sm_base", apart))).drop("__sm_base", "__sm_more")
+    return with_base.withColumn("secrets", together(F.col("__sm_base"), F.col("__sm_more"))).drop("__sm_base", "__sm_more")
+
+
+def together(base: Column, more: Column) -> Column:
+    """Base spans and those of ``more`` that overlap none of them, sorted by start, then kind.
+
+    Over the sorted spans one fold drops what an earlier base span reaches into, and one from the end what reaches into a later one.
+    """
+    none, is_base = F.array().cast(SPAN), lambda x: x["ord"] < 3
+
+    def fold(found: Column, edge: int, moved, clear) -> Column:
+        def step(acc: Column, x: Column) -> Column:
+            stays = is_base(x) | clear(acc["edge"], x)
+            return F.struct(F.when(is_base(x), moved(acc["edge"], x)).otherwise(acc["edge"]).alias("edge"), F.when(stays, F.concat(acc["out"], F.array(x))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(found, F.struct(F.lit(edge).alias("edge"), none.alias("out")), step, lambda acc: acc["out"])
+
+    every = F.array_sort(F.concat(base, more))
+    forward = fold(every, 0, lambda edge, x: F.greatest(edge, x["end"]), lambda edge, x: edge <= x["start"])
+    backward = fold(F.reverse(forward), 2**31 - 1, lambda edge, x: F.least(edge, x["start"]), lambda edge, x: edge >= x["end"])
+    return F.when((F.size(base) == 0) | (F.size(more) == 0), every).otherwise(F.array_sort(backward))
 
 
 def joined(found: Column) -> Column:

@@ -38,6 +38,8 @@ EMPTY_MEMBER = bytes.fromhex("1f8b080000000000000303000000000000000000")
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 SPLIT = 16 << 20
+#: Ranges that a task reads, where there are many.
+RANGES = 16
 _CHUNK = 1 << 18
 
 
@@ -192,10 +194,14 @@ def parse(content: bytes) -> tuple[dict[str, str], bytes, int]:
 
 
 def read_archives(spark: SparkSession, path: str, split: int = SPLIT, with_payload: bool = True) -> DataFrame:
-    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload, path, offset) of all records."""
+    """(page_id, url, record_type, payload_bytes, payload_digest, refers_to, payload, path, offset) of all records.
+
+    A task reads several ranges, one after the other, where there are many.
+    """
     files = spark.read.format("binaryFile").load(path).select("path", "length").where("length > 0")
     ranges = files.select("path", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(split).cast("long"))).alias("start"))
-    ranges = ranges.repartition(max(1, ranges.count()))
+    n = ranges.count()
+    ranges = ranges.repartition(max(1, min(n, 4 * spark.sparkContext.defaultParallelism), -(-n // RANGES)))
     schema = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary, path string, offset long"
     kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.string(), pa.int64()]
     names = [c.split()[0] for c in schema.split(", ")]

@@ -330,3 +330,28 @@ def test_media_are_written_by_what_suits_them():
         sizes[name] = len(stored) / len(payload)
     assert sizes["one value"] < 0.001 and sizes["repeats"] < 0.02 and sizes["slope"] < 0.05 and sizes["equal rows"] < 0.05 and sizes["two values"] < 0.2
     assert len(set(webp._repeats(np.frombuffer(line * 20, np.uint8))[1])) >= 1
+
+
+def test_spans_apart_from_base_spans(spark):
+    from strandmill.llm import secret_scan
+
+    rng = random.Random(12)
+    span = lambda o: (s := rng.randrange(60), o, s + rng.randrange(1, 9), "k")
+    rows = [([span(rng.randrange(3)) for _ in range(rng.randrange(5))], [span(3) for _ in range(rng.randrange(6))]) for _ in range(80)]
+    frame = spark.createDataFrame(rows, f"b {secret_scan.SPAN}, m {secret_scan.SPAN}")
+    got = [[tuple(x) for x in r[0]] for r in frame.select(secret_scan.together(conversations.F.col("b"), conversations.F.col("m"))).collect()]
+    assert got == [sorted([*b, *(x for x in m if not any(y[0] < x[2] and x[0] < y[2] for y in b))]) for b, m in rows]
+
+
+def test_clashing_columns_are_replaced_and_others_stay(spark):
+    from strandmill.llm import media, secret_scan
+
+    rows = [(1, "x api_key = 'abcdef0123456789'", b"old", 5, "old", "old")]
+    frame = spark.createDataFrame(rows, "id int, text string, media binary, width int, feature string, secrets string")
+    stored = media.store(frame, "text")
+    assert stored.columns == ["id", "width", "feature", "secrets", "media"]
+    back = media.load(stored).first()
+    assert back.id == 1 and back.secrets == "old" and bytes(back.pixels).startswith(b"x api_key") and back.width == 576 and back.feature != "old"
+    model = [0.0] * (len(secret_scan.ALPHABET) + 1) ** 2
+    scanned = secret_scan.scan(frame, "text", model).first()
+    assert scanned.feature == "old" and scanned.secrets[0].kind == "assign"
