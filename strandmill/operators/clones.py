@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
+from functools import partial
+from hashlib import md5 as _md5
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +18,9 @@ LANE_ROWS = 2048
 MIN_JACCARD, MIN_RATIO, MIN_CONFIDENCE = 0.72, 0.6, 0.78
 
 
+md5 = partial(_md5, usedforsecurity=False)
+
+
 def word_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("[a-z]+"), F.lit(0))
 
@@ -50,22 +54,28 @@ def simhash(prints: DataFrame) -> DataFrame:
     """(id, l0 .. l3): sixteen bits each of the signed vote over shingle hashes; a tie sets the bit.
 
     The lanes are the first 64 bits of each shingle's MD5; a text's votes are counted in its task, so no shingle is shuffled.
+    Tokens hold no blanks.
     """
 
+    def votes_of(text: bytes) -> tuple[int, list[int]]:
+        if not text:
+            return 0, [0] * LANES * LANE_BITS
+        blanks = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+        starts, ends = [0, *(blanks + 1).tolist()], [*blanks.tolist(), len(text)]
+        runs = zip(starts, ends[SHINGLE - 1 :]) if len(starts) >= SHINGLE else [(0, len(text))]  # noqa: B905  as many as there are whole runs
+        digests = b"".join([md5(text[i:j]).digest()[:8] for i, j in runs])
+        bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+        return len(bits), bits.sum(0, dtype=np.int64).tolist()
+
     def run(batches):
         for batch in batches:
-            ids, runs = batch.column(0), batch.column(1)
             for at in range(0, len(batch), 256):
-                n, ones = [], []
-                for value in runs.slice(at, 256):
-                    digests = b"".join(hashlib.md5(s.encode(), usedforsecurity=False).digest()[:8] for s in value.as_py())
-                    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
-                    n.append(len(bits))
-                    ones.append(bits.sum(0, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([ids.slice(at, 256), pa.array(n, pa.int64()), pa.array([o.tolist() for o in ones], pa.list_(pa.int64()))], names=["id", "n", "ones"])
+                part = batch.slice(at, 256)
+                found = [votes_of(v.as_buffer().to_pybytes() if v.is_valid else b"") for v in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in found], pa.int64()), pa.array([o for _, o in found], pa.list_(pa.int64()))], names=["id", "n", "ones"])
 
     kind = prints.schema["id"].dataType.simpleString()
-    votes = prints.select("id", shingles(F.col("tokens")).alias("runs")).mapInArrow(run, f"id {kind}, n long, ones array<long>")
+    votes = prints.select("id", F.array_join("tokens", " ").alias("text")).mapInArrow(run, f"id {kind}, n long, ones array<long>")
     # Bit b of lane k is place 16 k + 15 - b of the digest.
     lanes = [sum((F.when(2 * F.get("ones", F.lit(LANE_BITS * k + LANE_BITS - 1 - b)) >= F.col("n"), 1 << b).otherwise(0) for b in range(LANE_BITS)), F.lit(0)).cast("int").alias(f"l{k}") for k in range(LANES)]
     return votes.select("id", *lanes)
@@ -73,8 +83,9 @@ def simhash(prints: DataFrame) -> DataFrame:
 
 def distinct_representatives(prints: DataFrame) -> DataFrame:
     """One row per hash, the smallest id; ``members`` says which ids it stands for."""
-    best = prints.groupBy("hash").agg(F.min("id").alias("id"))
-    return prints.join(best, ["hash", "id"], "left_semi")
+    rest = [c for c in prints.columns if c != "hash"]
+    best = prints.groupBy("hash").agg(F.min_by(F.struct(*rest), "id").alias("r"))
+    return best.select(*[F.col(c) if c == "hash" else F.col(f"r.{c}").alias(c) for c in prints.columns])
 
 
 def members(prints: DataFrame) -> DataFrame:
