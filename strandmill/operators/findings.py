@@ -187,11 +187,28 @@ def safe_to_edit(total: DataFrame, strict: bool = True) -> DataFrame:
     return total.withColumn("safe_to_edit", F.col("level") == "low" if strict else F.col("level") != "high")
 
 
+def first_ids(found: DataFrame, reason: Column, most: int = 12) -> DataFrame:
+    """(kind, finding_ids): for each ``reason`` of findings the first ``most`` ids in canonical order; a task keeps ``most`` rows of each."""
+    nth = F.row_number().over(Window.partitionBy("__reason").orderBy(*order()))
+    first = found.withColumn("__reason", reason).where("__reason IS NOT NULL").withColumn("__nth", nth).where(F.col("__nth") <= most)
+    ids = F.transform(F.array_sort(F.collect_list(F.struct("__nth", "id"))), lambda x: x["id"])  # ``most`` at most
+    return first.groupBy(F.col("__reason").alias("kind")).agg(ids.alias("finding_ids"))
+
+
 def focus(points: DataFrame, limit: int) -> DataFrame:
-    """``points`` (target, kind, severity, score) by target: worst severity, capped score, kinds, confidence; the first ``limit``."""
+    """``points`` (target, kind, severity, score) by target: worst severity, capped score, kinds, confidence; the first ``limit``.
+
+    Where points have ``position``, ``n`` and ``finding_ids``, a target also gets evidence of its first four reasons and the distinct
+    ids of all of them; a target has a point per reason, eight at most.
+    """
+    more = []
+    if "position" in points.columns:
+        said = F.format_string("%d counted as %s", "n", "kind")
+        shown_ = F.struct("position", proof("graph_edge", F.col("target"), F.lit(None).cast("string"), said, F.col("score")).alias("proof"))
+        more = [F.slice(F.transform(F.array_sort(F.collect_list(shown_)), lambda x: x["proof"]), 1, 4).cast(EVIDENCE).alias("evidence"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.coalesce("finding_ids", F.array().cast("array<string>")))))).alias("finding_ids")]
     out = points.groupBy("target").agg(
         F.max(rank(F.col("severity"))).alias("severity_rank"), F.least(F.sum("score"), F.lit(100)).cast("long").alias("score"),
-        F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"),
+        F.array_join(F.array_sort(F.collect_set("kind")), "|").alias("kinds"), *more,
     )
     out = out.withColumn("confidence", F.round(F.least(F.lit(0.99), 0.5 + F.least("score", F.lit(50)) / 100), 6))
     return out.orderBy(F.desc("severity_rank"), F.desc("score"), "target").limit(limit)

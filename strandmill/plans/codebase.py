@@ -329,7 +329,11 @@ def assess(facts: Facts, paths: list[str], options: Options = Options(), depth:
     some = lambda df, kind: df.select("path").distinct().orderBy("path").limit(12).select(F.lit(kind).alias("kind"), "path")
     files = [some(near, "dependency_cone"), some(users, "reverse_dependents"), exported.select(F.lit("public_exports").alias("kind"), "path").distinct(), loaded.select(F.lit("dynamic_imports").alias("kind"), "path")]
     files += [findings.files_of(findings.of_kinds(found, *own), near).select(F.lit(kind).alias("kind"), "path") for kind, own in kinds.items()]
-    points = reduce(DataFrame.union, files).join(why, "kind").select(F.col("path").alias("target"), "kind", "severity", "score")
+    reason = F.lit(None).cast("string")
+    for kind, own in kinds.items():
+        reason = F.when(F.col("kind").isin(*own), kind).otherwise(reason)
+    ids = findings.first_ids(found, reason)
+    points = reduce(DataFrame.union, files).join(why, "kind").join(ids, "kind", "left").select(F.col("path").alias("target"), "kind", "severity", "score", "n", "position", "finding_ids")
     return Risk(why, findings.risk(why), findings.focus(points, limit), near)
 
 

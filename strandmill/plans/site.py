@@ -231,3 +231,26 @@ def site_health(spark, d):
     status = F.when(F.col("event_type") == "signup", "queued").when(F.col("event_type") == "purchase", "done").when(F.col("event_type") == "error", "failed").otherwise("other")
     jobs = table(spark, d, "events").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
     return codebase.health(facts(spark, d), jobs)
+
+
+_CH = ", ".join(map(repr, CHANGED))
+_KINDS = {"api_drift": "'api_drift'", "cycles": "'cycle'", "session_conflicts": "'session_conflict'", "nearby_findings": "'semantic_clone', 'type_shape_duplicate', 'dead_code'"}
+_FILES_OF = " UNION ALL ".join(
+    f"SELECT '{kind}', path FROM (SELECT DISTINCT unnest(files) AS path FROM o WHERE kind IN ({own}) ORDER BY path LIMIT 12) UNION ALL SELECT '{kind}', path FROM (SELECT path FROM near ORDER BY path LIMIT 12) WHERE NOT EXISTS (SELECT 1 FROM o WHERE kind IN ({own}))"
+    for kind, own in _KINDS.items()
+)
+
+
+@query(f"""{_RISK}, ro AS (SELECT *, row_number() OVER (ORDER BY {_RANK} DESC, score DESC, kind) AS position FROM rs),
+ fi AS (SELECT CASE {" ".join(f"WHEN kind IN ({own}) THEN '{kind}'" for kind, own in _KINDS.items())} END AS reason, id, position FROM o),
+ ids AS (SELECT reason AS kind, list(id ORDER BY position) AS finding_ids FROM (SELECT * FROM fi QUALIFY row_number() OVER (PARTITION BY reason ORDER BY position) <= 12) GROUP BY reason),
+ pt(kind, target) AS (SELECT 'dependency_cone', path FROM (SELECT path FROM near ORDER BY path LIMIT 12) UNION ALL SELECT 'reverse_dependents', path FROM (SELECT DISTINCT path FROM us WHERE path NOT IN ({_CH}) ORDER BY path LIMIT 12)
+  UNION ALL SELECT DISTINCT 'public_exports', path FROM ex WHERE path IN ({_CH}) UNION ALL SELECT DISTINCT 'dynamic_imports', dst FROM im WHERE is_dynamic AND dst IN (SELECT path FROM near) UNION ALL {_FILES_OF}),
+ pj AS (SELECT pt.target, ro.*, coalesce(finding_ids, []) AS finding_ids FROM pt JOIN ro USING (kind) LEFT JOIN ids ON ids.kind = ro.kind)
+ SELECT target, max({_RANK})::INT AS severity_rank, least(sum(score), 100)::BIGINT AS score, string_agg(DISTINCT kind, '|' ORDER BY kind) AS kinds, round(least(0.99, 0.5 + least(sum(score), 50) / 100), 6)::DOUBLE AS confidence,
+  array_to_string(list(n || ' counted as ' || kind ORDER BY position)[1:4], ';') AS evidence, array_to_string(list_sort(list_distinct(flatten(list(finding_ids)))), '|') AS finding_ids
+ FROM pj GROUP BY target ORDER BY severity_rank DESC, score DESC, target LIMIT 12""")
+def site_focus(spark, d):
+    """The twelve pages to look at first, with evidence of four reasons and the first findings of each."""
+    said = F.array_join(F.transform("evidence", lambda e: e["detail"]), ";")
+    return risk(spark, d).focus.select("target", "severity_rank", "score", "kinds", "confidence", said.alias("evidence"), F.array_join("finding_ids", "|").alias("finding_ids"))
