@@ -318,3 +318,10 @@ def package_edges(edges: DataFrame, packages: DataFrame) -> DataFrame:
     b = packages.select(F.col("node").alias("dst"), F.col("package").alias("q"))
     both = edges.join(a, "src").join(b, "dst").where("p <> q")
     return both.select(F.col("p").alias("src"), F.col("q").alias("dst")).distinct()
+
+
+def consecutive(events: DataFrame, order: list[str], bucket: str, value: str) -> DataFrame:
+    """(src, dst): each row's ``value`` and the next one's in the order of (bucket, order), over sorted ranges."""
+    from strandmill.operators import ranges
+
+    return ranges.consecutive(events, [bucket, *order], value)

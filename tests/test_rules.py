@@ -100,9 +100,9 @@ def test_baselines_are_checked_field_by_field(spark, tmp_path):
         assert [tuple(r) for r in problems.collect()] == ([problem] if problem else []), doc
         if problem:
             with pytest.raises(ValueError, match=problem[1].split()[0]):
-                tree.baseline(spark, str(path))
+                tree.baseline(spark, str(path), strict=True)
         else:
-            assert [r.asDict() for r in tree.baseline(spark, str(path)).collect()] == [GOOD]
+            assert [r.asDict() for r in tree.baseline(spark, str(path), strict=True).collect()] == [GOOD]
 
 
 def test_upsert_by_two_columns(spark, tmp_path):
