@@ -29,6 +29,8 @@ from strandmill.llm.scratch import fresh_path, save
 BUCKET_BYTES, BUCKET_ROWS = 4 << 20, 2048
 #: Repeated rows that are broadcast to tell them from the others; more are joined.
 BROADCAST_ROWS = 200_000
+#: Buckets whose permutations a task makes.
+BUCKETS = 16
 #: Copies of a row that one task makes.
 COPIES = 4096
 
@@ -102,7 +104,9 @@ def external_shuffle(df: DataFrame, key: str, n_shards: int, seed: int = 42, buc
     counts = save(counts, "sharding-buckets").withColumn("__sm_all", F.lit(0))
     places = bin_offsets(counts, ["__sm_all"], "__sm_bucket", "__sm_n", "__sm_before")
     perm = fisher_yates(F.col("__sm_n"), seed + 1, F.col("__sm_bucket"))
-    perms = places.select("__sm_bucket", "__sm_before", perm.alias("__sm_perm"))
+    # Buckets are few bytes and much work: a fixed number of tasks shares them, whatever their size, and what they give is written.
+    tasks = max(1, -(-n_buckets // BUCKETS))
+    perms = save(places.repartition(tasks, "__sm_bucket").select("__sm_bucket", "__sm_before", perm.alias("__sm_perm")), "sharding-perms")
 
     in_bucket = Window.partitionBy("__sm_bucket").orderBy("__sm_key", "__sm_tie", "__sm_copy")
     ranked = whole.withColumn("__sm_rank", F.row_number().over(in_bucket))
