@@ -273,12 +273,51 @@ def _tables(spark: SparkSession, path: str):
     return spark.sparkContext.broadcast(Vocabulary(path))
 
 
+def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets of the texts)."""
+        counts = np.zeros(len(texts), np.int64)
+        found, words, owners = [], [], []
+
+        def flush():
+            ids, each = self._block(words)
+            found.append(ids)
+            np.add.at(counts, np.array(owners, np.int64), each)
+            words.clear()
+            owners.clear()
+
+        for k, text in enumerate(texts):
+            for part in self.words(text) if text else ():
+                words += part
+                owners += [k] * len(part)
+                if len(words) >= WORDS:
+                    flush()
+        if words:
+            flush()
+        return np.concatenate(found) if found else np.zeros(0, np.int32), np.concatenate(([0], np.cumsum(counts)))
+
+
+def decode_ids(vocabulary: Vocabulary, ids: np.ndarray, offsets: np.ndarray) -> list[str]:
+    """The texts of runs of ids."""
+    ids = ids.astype(np.int64)
+    known = (ids >= 0) & (ids < vocabulary.size)
+    at = np.where(known, ids, 0)
+    sizes = np.where(known, vocabulary.ends[at] - vocabulary.starts[at], 0)
+    ends = np.concatenate(([0], np.cumsum(sizes)))
+    data = vocabulary.spelled[np.repeat(vocabulary.starts[at] - ends[:-1], sizes) + np.arange(int(ends[-1]))].tobytes()
+    cuts = ends[offsets].tolist()
+    return [data[a:b].decode("utf-8", "replace") for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+
+
+def _tables(spark: SparkSession, path: str):
+    return spark.sparkContext.broadcast(Vocabulary(path))
+
+
 def _without(df: DataFrame, column: str) -> DataFrame:
     return df.drop(column) if column in df.columns else df
 
 
-def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -> DataFrame:
-    """``df`` with the token ids of ``text_col`` as an array."""
+def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids", keep: bool = True) -> DataFrame:
+    """``df`` with the token ids of ``text_col`` as an array; without ``keep`` the text itself is left out."""
     tables = _tables(df.sparkSession, path)
 
     def run(batches):
@@ -289,13 +328,14 @@ def encode(df: DataFrame, path: str, text_col: str = "text", out: str = "ids") -
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
                 yield part.drop_columns(["__sm_text"]).append_column(out, lists)
 
-    kept = _without(df, out)
-    schema = kept.withColumn(out, F.array().cast("array<int>")).schema
-    return kept.withColumn("__sm_text", df[text_col]).mapInArrow(run, schema)
+    named = df.withColumn("__sm_text", F.col(text_col))
+    kept = [c for c in df.columns if c != out and (keep or c != text_col)]
+    schema = df.select(*kept).withColumn(out, F.array().cast("array<int>")).schema
+    return named.select(*kept, "__sm_text").mapInArrow(run, schema)
 
 
-def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """``df`` with the text of ``ids_col``."""
+def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded", keep: bool = True) -> DataFrame:
+    """``df`` with the text of ``ids_col``; without ``keep`` the ids themselves are left out."""
     tables = _tables(df.sparkSession, path)
 
     def run(batches):
@@ -310,8 +350,9 @@ def decode(df: DataFrame, path: str, ids_col: str = "ids", out: str = "decoded")
                 texts = decode_ids(tables.value, ids, offsets - offsets[0])
                 yield part.drop_columns(["__sm_ids"]).append_column(out, pa.array(texts, pa.string()))
 
-    kept = _without(df, out)
-    return kept.withColumn("__sm_ids", df[ids_col].cast("array<int>")).mapInArrow(run, kept.withColumn(out, F.lit("")).schema)
+    named = df.withColumn("__sm_ids", F.col(ids_col).cast("array<int>"))
+    kept = [c for c in df.columns if c != out and (keep or c != ids_col)]
+    return named.select(*kept, "__sm_ids").mapInArrow(run, df.select(*kept).withColumn(out, F.lit("")).schema)
 
 
 def op12(spark, sf_dir: str, path: str | None = None) -> DataFrame:
@@ -320,5 +361,6 @@ def op12(spark, sf_dir: str, path: str | None = None) -> DataFrame:
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = decode(encode(docs, path).drop("text"), path)
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    ids = encode(docs, path, keep=False)
+    ids = ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), "ids")
+    return decode(ids, path, keep=False).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
