@@ -182,7 +182,7 @@ def _cycles(edges: DataFrame, package_level: bool) -> DataFrame:
     found = graph.strong_components(edges).groupBy("comp").agg(F.array_sort(F.collect_list("node")).alias("nodes"))
     severity = F.lit("error") if package_level else F.when(F.size("nodes") > 3, "error").otherwise("warn")
     found = found.withColumns({"severity": severity, "confidence": F.lit(0.98 if package_level else 0.95), "package_level": F.lit(package_level)})
-    said = "package boundary cycle detected" if package_level else "module participates in strongly connected component"
+    said = "one of several packages that need each other" if package_level else "a file on a loop of imports"
     proof = F.transform("nodes", lambda n: findings.proof("graph_edge", n, F.lit(None), F.lit(said), F.col("confidence")))
     key = F.concat_ws(":", F.lit("package" if package_level else "file"), F.array_join("nodes", "|"))
     action = F.lit(findings.ACTIONS["package_cycle" if package_level else "cycle"])
@@ -206,7 +206,7 @@ def session_findings(seen: DataFrame, now_ms: int, overlap: float = 0.25, sessio
     of = lambda x: live.select(F.col("session").alias(x), "file")
     common = pairs.select("a", "b").join(of("a"), "a").join(of("b"), ["b", "file"]).groupBy("a", "b").agg(F.array_sort(F.collect_set("file")).alias("common"))
     both = pairs.join(common, ["a", "b"])
-    said = F.format_string("dependency-cone overlap %s between sessions %s and %s", F.format_number("coefficient", 2), "a", "b")
+    said = F.format_string("%s and %s work on the same files: %s of the smaller set", "a", "b", F.format_number("coefficient", 2))
     proof = F.array(findings.proof("session_overlap", F.get("common", F.lit(0)), F.lit(None), said, F.col("coefficient")))
     key = F.concat_ws(":", F.least("a", "b"), F.greatest("a", "b"))
     return findings.detailed(both, "session_conflict", key, F.col("a"), F.col("common"), F.array("a", "b"), F.lit(findings.ACTIONS["session_conflict"]), proof)
