@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.operators import sessions, setjoin
+from strandmill.operators import findings, sessions, setjoin
 
 
 def _plan(df) -> str:
@@ -67,3 +67,32 @@ def test_conflicts_leave_their_task_complete(spark):
     files = [{(k + 40 * t) % 9 for t in range(5)} for k in range(40)]
     assert "Join" not in _plan(found)
     assert found.count() == sum(4 * len(files[a] & files[b]) >= min(len(files[a]), len(files[b])) and bool(files[a] & files[b]) for b in range(40) for a in range(b))
+
+
+def _random_findings(rng, n):
+    return [(rng.choice(["a", "b", "c", None]), rng.choice("kl"), rng.choice(["error", "warn", "info", "other"]), rng.choice([0.1, 0.5, 0.9]), rng.choice("tu")) for _ in range(n)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 3, 12, 40])
+def test_counts_without_sorting(spark, n):
+    rng = random.Random(n)
+    schema = "id string, kind string, severity string, confidence double, target string"
+    for _ in range(3):
+        rows = _random_findings(rng, n)
+        single = [(f"s{k}" if k % 2 else f"b{k}", "m", rng.choice(["error", "warn"]), rng.choice([0.1, 0.5, 0.7]), "t") for k in range(n // 3)]
+        some, ones = spark.createDataFrame(rows, schema), spark.createDataFrame(single, schema)
+        assert findings.count(some).first()[0] == findings.distinct(some).count()
+        assert findings.count(some, ones).first()[0] == findings.distinct(some.union(ones)).count()
+
+
+def test_top_sorts_a_beginning_only(spark, monkeypatch):
+    """Of 4,000 equal findings and three others the first three are found, and ``ranked`` never sees all rows where the first will do."""
+    schema = "id string, kind string, severity string, confidence double, target string"
+    rows = [("x", "k", "error", 0.9, str(k)) for k in range(4000)] + [("y", "k", "error", 0.8, "t"), ("z", "k", "warn", 0.9, "t"), ("w", "k", "warn", 0.8, "t")]
+    got = sorted(findings.top(spark.createDataFrame(rows, schema), 3).collect(), key=lambda r: r.position)
+    assert [(r.id, r.target) for r in got] == [("x", "0"), ("y", "t"), ("z", "t")] and all(r.truncated for r in got)
+    assert not any(r.truncated for r in findings.top(spark.createDataFrame(rows[3999:], schema), 4).collect())
+    seen, ranked = [], findings.ranked
+    monkeypatch.setattr(findings, "ranked", lambda df: seen.append(df.count()) or ranked(df))
+    many = spark.range(5000).selectExpr("concat('i', id) AS id", "'k' AS kind", "'warn' AS severity", "id % 7 / 7 AS confidence", "'t' AS target")
+    assert findings.top(many, 5).count() == 5 and max(seen) < 200
