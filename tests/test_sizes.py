@@ -96,3 +96,21 @@ def test_top_sorts_a_beginning_only(spark, monkeypatch):
     monkeypatch.setattr(findings, "ranked", lambda df: seen.append(df.count()) or ranked(df))
     many = spark.range(5000).selectExpr("concat('i', id) AS id", "'k' AS kind", "'warn' AS severity", "id % 7 / 7 AS confidence", "'t' AS target")
     assert findings.top(many, 5).count() == 5 and max(seen) < 200
+
+
+def test_codes_of_a_block_take_little_memory():
+    """Six workers of an executor hold such arrays at once."""
+    import tracemalloc
+
+    import numpy as np
+    import zstandard
+
+    from strandmill.llm import ppm
+
+    sizes, data = np.full(4000, 2000, np.int64), np.random.default_rng(1).integers(97, 123, 8_000_000, np.uint8).tobytes()
+    blob = zstandard.compress(data, 1)
+    tracemalloc.start()
+    found = sum(len(ppm.gram_codes(part, offsets, ppm.ORDER)[0]) for _, _, part, offsets in ppm._pieces(sizes, blob))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 4000 * 2001 and peak < 60_000_000
