@@ -114,3 +114,58 @@ def test_codes_of_a_block_take_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert found == 4000 * 2001 and peak < 60_000_000
+
+
+def _touches(rng, n, files, kind):
+    name = (lambda k: k) if kind == "long" else (lambda k: f"s{k}")
+    return [(name(k), f, rng.random() < 0.3) for k in range(n) for f in rng.sample(range(files), rng.randrange(1, files // 2))]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("how", [{"dense": False}, {"dense": True, "block": 7}, {"dense": True, "block": 1000}])
+def test_conflicts_by_number(spark, how, kind, monkeypatch):
+    """Tallies and partners say of all pairs what the pairs themselves say, and no pair leaves its task to be counted."""
+    monkeypatch.setattr(setjoin, "TALLIES", 50)
+    df = spark.createDataFrame(_touches(random.Random(3), 40, 14, kind), f"session {kind}, file long, direct boolean")
+    found = sessions.Conflicts(df, **how)
+    rows = found.rows().collect()
+    want, got = {}, {}
+    for r in rows:
+        want[r.a, r.severity, r.confidence] = want.get((r.a, r.severity, r.confidence), 0) + 1
+    for r in found.tallies().collect():
+        got[r.a, r.severity, r.confidence] = got.get((r.a, r.severity, r.confidence), 0) + r.pairs
+    assert got == want
+    some = sorted({r.a for r in rows})[:2]
+    partners = found.sets.partners(spark.createDataFrame([(a,) for a in some], f"a {kind}"))
+    assert sorted((r.a, r.b, r.overlap) for r in partners.collect()) == sorted((r.a, r.b, r.overlap) for r in rows if r.a in some)
+    assert sorted(found.rows(least=0.6).collect()) == sorted(r for r in rows if r.coefficient >= 0.6)
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+@pytest.mark.parametrize("block", [7, 1000])
+def test_conflicts_are_numbered_not_sorted(spark, block, kind, monkeypatch):
+    """Positions are those of ``ranked``, with other findings before, among and behind, and only sums of pairs are sorted."""
+    rng = random.Random(4)
+    df = spark.createDataFrame(_touches(rng, 45, 12, kind), f"session {kind}, file long, direct boolean")
+    ids = [None, "a", "b", "semantic_clone:1", "t", "zz"]
+    others = [(rng.choice(ids), "k", rng.choice(["error", "warn", "info"]), rng.choice([0.25, 0.5, 0.99, 0.33]), "t") for _ in range(60)]
+    some = spark.createDataFrame(others, "id string, kind string, severity string, confidence double, target string")
+    as_findings = lambda rows, *more: findings.finding(rows, "session_conflict", F.concat_ws(":", "a", "b"), F.col("a"), *more)
+    conflicts = sessions.Conflicts(df, dense=True, block=block)
+    want = sorted(findings.ranked(some.unionByName(as_findings(conflicts.rows()))).collect(), key=lambda r: r.position)
+    monkeypatch.setattr(setjoin, "BATCH", 60)
+    seen, ranked = [], findings.ranked
+    monkeypatch.setattr(findings, "ranked", lambda df: seen.append(df.count()) or ranked(df))
+    got = findings.ranked_with(some, conflicts, as_findings).select(*want[0].__fields__)
+    assert sorted(got.collect(), key=lambda r: r.position) == want
+    assert max(seen) < len(want)
+
+
+def test_only_pairs_that_share_a_chosen_item(spark):
+    rows = [(*r, r[1] in (2, 5)) for r in _touches(random.Random(5), 40, 14, "long")]
+    df = spark.createDataFrame(rows, "session long, file long, direct boolean, near boolean")
+    for block in (7, 1000):
+        got = sessions.Conflicts(df, only="near", block=block).rows(common=True).collect()
+        want = [r for r in sessions.Conflicts(df, dense=False).rows(common=True).collect() if {2, 5} & set(r.common)]
+        assert sorted(got) == sorted(want)
+        assert sum(r.pairs for r in sessions.Conflicts(df, only="near", block=block).tallies().collect()) == len(want)
