@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.operators import findings, sessions, setjoin
+from strandmill.operators import findings, graph, sessions, setjoin
 
 
 def _plan(df) -> str:
@@ -169,3 +169,20 @@ def test_only_pairs_that_share_a_chosen_item(spark):
         want = [r for r in sessions.Conflicts(df, dense=False).rows(common=True).collect() if {2, 5} & set(r.common)]
         assert sorted(got) == sorted(want)
         assert sum(r.pairs for r in sessions.Conflicts(df, only="near", block=block).tallies().collect()) == len(want)
+
+
+def test_a_component_is_named_once():
+    """The smallest node is sought once per component, not once per node."""
+    compared = []
+
+    class Node(int):
+        __hash__ = int.__hash__
+
+        def __lt__(self, other):
+            compared.append(1)
+            return int(self) < int(other)
+
+    nodes = [Node(k) for k in range(300)]
+    found = graph._components([(nodes[k], nodes[(k + 1) % 300]) for k in range(300)])
+    assert sorted(found, key=lambda f: int(f[0])) == [(k, 0) for k in range(300)]
+    assert len(compared) < 600
