@@ -186,3 +186,35 @@ def test_a_component_is_named_once():
     found = graph._components([(nodes[k], nodes[(k + 1) % 300]) for k in range(300)])
     assert sorted(found, key=lambda f: int(f[0])) == [(k, 0) for k in range(300)]
     assert len(compared) < 600
+
+
+def test_texts_are_hashed_once(spark, tmp_path):
+    """Candidates come from written lanes: no plan over them hashes texts again, and pieces of any length are hashed as by hashlib."""
+    from hashlib import md5
+
+    import numpy as np
+
+    from strandmill.functions.md5 import halves
+    from strandmill.plans import bindings
+
+    words = ["".join(random.Random(k).choices("abcdefgh", k=k % 23 + 1)) for k in range(60)]
+    docs = [(k, " ".join(random.Random(k // 2).sample(words, 30)), "s") for k in range(12)]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = bindings.lsh_candidates(spark, str(tmp_path))
+    assert "MapInArrow" not in _plan(found)
+    lanes = {r.id: (r.l0, r.l1, r.l2, r.l3) for r in bindings.simhash_lanes(spark, str(tmp_path)).collect()}
+
+    def plain(text):
+        w = text.split()
+        marks = [int.from_bytes(md5(" ".join(w[i : i + 5]).encode()).digest()[:8], "big") for i in range(len(w) - 4)]
+        voted = sum(1 << b for b in range(64) if 2 * sum(m >> b & 1 for m in marks) >= len(marks))
+        return tuple(voted >> 48 - 16 * k & 0xFFFF for k in range(4))
+
+    assert lanes == {k: plain(t) for k, t, _ in docs}
+    first = {plain(t): k for k, t, _ in reversed(docs)}
+    assert sorted(map(tuple, found.collect())) == sorted((a, b) for x, a in first.items() for y, b in first.items() if a < b and any(p == q for p, q in zip(x, y, strict=True)))
+    data = bytes(random.Random(1).randrange(256) for _ in range(400))
+    starts = np.array([0, 5, 5, 7, 11, 0, 400, 390])
+    ends = np.array([0, 5, 6, 62, 67, 400, 400, 400])
+    got = np.concatenate([d for _, d in halves(np.frombuffer(data, np.uint8), starts, ends)])
+    assert [g.tobytes() for g in got] == [md5(data[a:b]).digest()[:8] for a, b in zip(starts, ends, strict=True)]
