@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from strandmill.operators import findings, graph, sessions, setjoin
+from strandmill.operators import clones, findings, graph, sessions, setjoin
 
 
 def _plan(df) -> str:
@@ -218,3 +218,10 @@ def test_texts_are_hashed_once(spark, tmp_path):
     ends = np.array([0, 5, 6, 62, 67, 400, 400, 400])
     got = np.concatenate([d for _, d in halves(np.frombuffer(data, np.uint8), starts, ends)])
     assert [g.tobytes() for g in got] == [md5(data[a:b]).digest()[:8] for a, b in zip(starts, ends, strict=True)]
+
+
+def test_texts_are_cut_into_tokens_once(spark):
+    docs = spark.createDataFrame([(1, "a " * 24, "s"), (2, "a " * 23, "s"), (3, None, "s"), (4, "", None)], "k long, t string, g string")
+    found = clones.fingerprints(docs, "k", "t", "g")
+    assert [(r.id, r.grp, r.n_tokens, r.tokens) for r in found.collect()] == [(1, "s", 24, ["a"] * 24)]
+    assert _plan(found).count("regexp_extract_all") == 1
