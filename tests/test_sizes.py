@@ -41,6 +41,26 @@ def test_no_sets(spark, dense):
     assert setjoin.overlaps(none, "o", "i", 0.5, mark="m", common=True, dense=dense).collect() == []
 
 
+def test_tasks_of_blocks_grow_with_the_sets(spark):
+    """What a task looks at grows no faster than the number of sets."""
+    n = 200_000
+    sets = setjoin.Overlaps(spark.range(n).selectExpr("id AS o", "id % 2 AS i"), "o", "i", 0.25)
+    meetings, tasks = sets.parts * (sets.parts + 1) // 2, sets.pairs().rdd.getNumPartitions()  # no blocks meet for that
+    assert sets.dense and -(-meetings // tasks) * sets.block**2 <= 25 * n
+
+
+@pytest.mark.parametrize("tasks", [1, 5])
+def test_several_meetings_in_a_task(spark, monkeypatch, tasks):
+    rng = random.Random(5)
+    sets = {k: set(rng.sample(range(20), rng.randrange(1, 9))) for k in range(40)}
+    df = spark.createDataFrame([(k, i) for k, s in sets.items() for i in s], "o long, i long")
+    monkeypatch.setattr(setjoin, "MEETINGS", tasks)
+    found = setjoin.overlaps(df, "o", "i", 0.5, dense=True, block=7)
+    assert found.rdd.getNumPartitions() == tasks
+    want = [(a, b, len(sets[a] & sets[b])) for a in sets for b in sets if a < b and 2 * len(sets[a] & sets[b]) >= min(len(sets[a]), len(sets[b]))]
+    assert sorted((r.a, r.b, r.overlap) for r in found.collect()) == sorted(want)
+
+
 def test_items_beyond_one_product(spark, monkeypatch):
     monkeypatch.setattr(setjoin, "COLUMNS", 8)
     monkeypatch.setattr(setjoin, "CELLS", 40)
