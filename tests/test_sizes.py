@@ -181,6 +181,25 @@ def test_conflicts_are_numbered_not_sorted(spark, block, kind, monkeypatch):
     assert max(seen) < len(want)
 
 
+def _dealt(node) -> list[str]:
+    """The columns of each step of a plan that deals rows out."""
+    below = [node.children().apply(k) for k in range(node.children().size())]
+    return [node.output().mkString(",")] * ("Repartition" in node.nodeName()) + [part for child in below for part in _dealt(child)]
+
+
+def test_blocks_are_not_shuffled_to_their_meetings(spark, monkeypatch):
+    """A block meets the root of the sets: only numbers of blocks are dealt out, and blocks too many to be broadcast meet as well."""
+    df = spark.createDataFrame(_touches(random.Random(6), 60, 12, "long"), "session long, file long, direct boolean")
+    conflicts = sessions.Conflicts(df, dense=True, block=7)
+    found, counted = conflicts.rows(), conflicts.tallies()
+    for df in (found, counted):
+        dealt = _dealt(df._jdf.queryExecution().optimizedPlan())
+        assert dealt and not any("codes" in part for part in dealt)
+    monkeypatch.setattr(setjoin, "BROADCAST_BYTES", 0)
+    assert sorted(conflicts.rows().collect()) == sorted(found.collect())
+    assert sorted(conflicts.tallies().collect()) == sorted(counted.collect())
+
+
 def test_only_pairs_that_share_a_chosen_item(spark):
     rows = [(*r, r[1] in (2, 5)) for r in _touches(random.Random(5), 40, 14, "long")]
     df = spark.createDataFrame(rows, "session long, file long, direct boolean, near boolean")
