@@ -200,6 +200,16 @@ def test_blocks_are_not_shuffled_to_their_meetings(spark, monkeypatch):
     assert sorted(conflicts.tallies().collect()) == sorted(counted.collect())
 
 
+def test_ranked_findings_are_read_from_their_ranges(spark, monkeypatch):
+    """Findings are dealt out by order and by range, and not again: what comes back is written rows and a row per range."""
+    dealt, kept = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: dealt.extend(_dealt(df._jdf.queryExecution().optimizedPlan())) or kept(df))
+    found = spark.createDataFrame(_random_findings(random.Random(9), 40), "id string, kind string, severity string, confidence double, target string")
+    out = findings.ranked(found)
+    assert len(dealt) <= 1 and "Window" not in _plan(out) and "Aggregate" not in _plan(out)
+    assert sorted(r.position for r in out.collect()) == list(range(1, out.count() + 1))
+
+
 def test_only_pairs_that_share_a_chosen_item(spark):
     rows = [(*r, r[1] in (2, 5)) for r in _touches(random.Random(5), 40, 14, "long")]
     df = spark.createDataFrame(rows, "session long, file long, direct boolean, near boolean")
